@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from quadrille.llm.common import table
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.exact_dedup import exact_duplicates
 
@@ -20,11 +32,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_exact_dedup, op9_minhash)}
+    return {f.__name__: f for f in (op2_mix_sources, op4_best_fit_packing, op7_exact_dedup, op9_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from quadrille.llm import mixing
+
     return {
+        "op2_mix_sources": mixing.ORACLE,
         "op7_exact_dedup": r"""
             WITH d AS (
                 SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
