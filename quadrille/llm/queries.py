@@ -7,18 +7,49 @@ from pyspark.sql import DataFrame, SparkSession
 from quadrille.llm.common import table
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives are written to the shared folder and read back by the salvage reader."""
+    from pyspark.sql import functions as F
+
+    from quadrille.llm.common import scratch_path
+    from quadrille.llm.warc import read_warc, write_warc
+
+    path = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    records = read_warc(spark, path, with_payload=False).where("kind = 'record'")
+    return records.select(
+        F.expr(r"try_cast(regexp_extract(record_id, '^urn:page:(-?[0-9]+)$', 1) as long)").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.expr(r"try_cast(regexp_extract(refers_to, '^urn:page:(-?[0-9]+)$', 1) as long)").alias("refers_to"),
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.exact_dedup import exact_duplicates
 
@@ -32,13 +63,21 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op4_best_fit_packing, op7_exact_dedup, op9_minhash)}
+    return {f.__name__: f for f in (op1_warc_salvage, op2_mix_sources, op3_quality_trees, op4_best_fit_packing, op6_toxicity_grammar, op7_exact_dedup, op9_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     from quadrille.llm import mixing
 
     return {
+        "op1_warc_salvage": r"""
+            WITH p AS (
+                SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+            q AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+            SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+                   CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+            FROM q""",
         "op2_mix_sources": mixing.ORACLE,
         "op7_exact_dedup": r"""
             WITH d AS (
