@@ -62,8 +62,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.substrings import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_salvage, op2_mix_sources, op3_quality_trees, op4_best_fit_packing, op6_toxicity_grammar, op7_exact_dedup, op9_minhash)}
+    return {f.__name__: f for f in (op1_warc_salvage, op2_mix_sources, op3_quality_trees, op4_best_fit_packing, op6_toxicity_grammar, op7_exact_dedup, op9_minhash, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
