@@ -44,6 +44,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.pii import find_personal_data, report
+
+    return report(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.toxicity import score_toxicity
 
@@ -56,6 +62,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.embeddings import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.minhash import near_duplicates
 
@@ -69,7 +81,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_salvage, op2_mix_sources, op3_quality_trees, op4_best_fit_packing, op6_toxicity_grammar, op7_exact_dedup, op9_minhash, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_warc_salvage, op2_mix_sources, op3_quality_trees, op4_best_fit_packing, op5_pii_disclosure, op6_toxicity_grammar, op7_exact_dedup, op8_projection_forest, op9_minhash, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
