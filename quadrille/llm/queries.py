@@ -80,8 +80,14 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_salvage, op2_mix_sources, op3_quality_trees, op4_best_fit_packing, op5_pii_disclosure, op6_toxicity_grammar, op7_exact_dedup, op8_projection_forest, op9_minhash, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_warc_salvage, op2_mix_sources, op3_quality_trees, op4_best_fit_packing, op5_pii_disclosure, op6_toxicity_grammar, op7_exact_dedup, op8_projection_forest, op9_minhash, op10_repeated_passages, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
