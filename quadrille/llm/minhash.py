@@ -7,8 +7,11 @@ grouped into bands; documents that share a band's value are candidates, and a bu
 only a star from its members to one centre. Every candidate edge is verified on the full sets.
 
 A star can miss a link between two members that are both unlike the centre. So buckets whose
-members lie in more than one component are starred again from other centres, and what is left
-after that is compared across components in full. No bucket or candidate is capped.
+members lie in more than one component are starred again from another centre, and the
+documents that are still in such buckets are joined exactly, across components, by prefix
+filter: two sets that are as similar as asked share one of their rarest shingles, and their
+bitmaps differ in no more bits than the sets may differ in shingles. Both are tested in the
+join, without loss. No bucket or candidate is capped.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ from quadrille.llm.graph import connected_components
 SHINGLE = 5
 BAND_ROWS = 7
 BANDS = 36
-#: Star rounds before the rest of a bucket is compared across components.
-STAR_ROUNDS = 3
+#: Star rounds before what is left is joined by prefix filter.
+STAR_ROUNDS = 2
+#: Sets, at most, on which shingles are ranked by how common they are. Any order is right; this
+#: one keeps common shingles out of the prefixes.
+RANK_SETS = 2000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -148,6 +154,60 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+#: Longs of a set's bitmap: the parity of the shingles that fall on each bit.
+BITMAP = 16
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    parity = np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+def _prefixes(order: np.ndarray, percent: int):
+    """Of each set the shingles of its prefix: rarest first, the common ones in `order` last."""
+    common = np.sort(order)
+    rank = np.argsort(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, n, bits = [], [], []
+            for s in batch.column(2):
+                s = s.values.to_numpy(zero_copy_only=False)
+                at = np.searchsorted(common, s)
+                known = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
+                place = np.zeros(len(s), np.int64)
+                place[known] = 1 + rank[at[known]]
+                tokens.append(s[np.lexsort((s, place))][: len(s) + percent * len(s) // -100 + 1])
+                n.append(len(s))
+                bits.append(_bitmap(s))
+            offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
+            grid = np.stack(bits)
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), lists, *(pa.array(grid[:, i]) for i in range(BITMAP))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "component", "n", "tokens", *(f"bits{i}" for i in range(BITMAP))])
+
+    return run
+
+
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among the documents of open_ that may be similar enough."""
+    held = materialize(open_.select("doc_id", "component").distinct().join(sets, "doc_id").select("doc_id", "component", "shingles"), "held")
+    ranked = held.orderBy(F.xxhash64("doc_id")).limit(RANK_SETS).select("shingles").toArrow().column(0)
+    tokens, counts = np.unique(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in ranked.chunks] or [np.zeros(0, np.int64)]), return_counts=True)
+    often = counts > 2
+    order = tokens[often][np.argsort(counts[often], kind="stable")]
+    bits = [f"bits{i}" for i in range(BITMAP)]
+    prefixes = held.mapInArrow(_prefixes(order, percent), "doc_id long, component long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in bits))
+    each = materialize(prefixes.select("doc_id", "component", "n", *bits, F.explode("tokens").alias("token")), "prefixes")
+    left = each.select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *bits)
+    right = each.select(F.col("token").alias("other"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(x).alias(f"{x}_") for x in bits))
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_"))) for x in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"{bits[0]}_"))))
+    # 100 * intersection >= percent * union allows so many shingles that only one of both has.
+    alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+    joined = left.join(right, (F.col("token") == F.col("other")) & (F.col("ca") < F.col("cb")) & alike)
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -185,9 +245,7 @@ def near_duplicates(
             star = open_.join(centres, "key").select("doc_id", "component", F.col("centre").bitwiseXOR(mask).alias("centre")).distinct()
             pairs = star.where("doc_id != centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
         else:
-            left = open_.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-            right = open_.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = _prefix_pairs(open_, sets, percent)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
