@@ -32,8 +32,8 @@ BAND_ROWS = 7
 BANDS = 36
 #: Star rounds before what is left is joined by prefix filter.
 STAR_ROUNDS = 2
-#: Sets, at most, on which shingles are ranked by how common they are. Any order is right; this
-#: one keeps common shingles out of the prefixes.
+#: About so many sets, drawn by a hash of the id, on which shingles are ranked by how common they
+#: are. Any order is right; this one keeps common shingles out of the prefixes.
 RANK_SETS = 2000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -192,7 +192,8 @@ def _prefixes(order: np.ndarray, percent: int):
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components among the documents of open_ that may be similar enough."""
     held = materialize(open_.select("doc_id", "component").distinct().join(sets, "doc_id").select("doc_id", "component", "shingles"), "held")
-    ranked = held.orderBy(F.xxhash64("doc_id")).limit(RANK_SETS).select("shingles").toArrow().column(0)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, held.count()))) < RANK_SETS
+    ranked = held.where(drawn).select("shingles").toArrow().column(0)
     tokens, counts = np.unique(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in ranked.chunks] or [np.zeros(0, np.int64)]), return_counts=True)
     often = counts > 2
     order = tokens[often][np.argsort(counts[often], kind="stable")]

@@ -31,7 +31,7 @@ TRAIN_ROWS = 20_000
 #: Entries of the lexicon, at most: those in the most toxic rows.
 LEXICON = 5_000
 #: A learnt entry is in at least so many toxic rows, and so many times likelier there.
-LEAST_ROWS, LEAST_ODDS = 6, 12.0
+LEAST_ROWS, LEAST_ODDS = 6, 60.0
 PREFIXES = range(3, 8)
 THRESHOLD = 0.5
 
