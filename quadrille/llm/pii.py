@@ -185,11 +185,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     to [NUMBER] or [TERM]. Overlapping base spans are replaced from the first on; the rest of an
     overlapped one is dropped with it. Null texts stay null."""
     found = find_personal_data(docs, id_col, text_col).drop("doc_id").dropDuplicates(["key"])
-    kinds = [F.transform(F.col(k), lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("put"))) for k in KINDS]
+
+    def masked(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put")))
+
     general = lambda x: F.when(x["remove"], "").when(x["value"].rlike(r"^\p{N}+$"), "[NUMBER]").otherwise("[TERM]")
     shape = "array<struct<start:int,end:int,put:string>>"
     terms = F.coalesce(F.transform("term", lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), general(x).alias("put"))), F.array().cast(shape))
-    cuts = F.array_sort(F.concat(*(k.cast(shape) for k in kinds), terms.cast(shape)))
+    cuts = F.array_sort(F.concat(*(masked(k).cast(shape) for k in KINDS), terms.cast(shape)))
     text = F.col(text_col)
 
     def put(acc: Column, x: Column) -> Column:
