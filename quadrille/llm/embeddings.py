@@ -2,9 +2,9 @@
 
 Each tree cuts the unit vectors by random directions at a random quantile near the middle,
 again and again until a leaf is small; a vector near a cut goes to both sides (spill). The
-cuts are fitted on a bounded sample, and every vector is routed through every tree. Within
-a leaf all pairs are compared, block by block, in double precision. A leaf that comes out
-larger than planned is cut again on its own vectors.
+upper cuts are fitted on a bounded sample, and every vector is routed through every tree;
+where so many cuts are not enough, each leaf is cut again on its own vectors, in a task of
+its own. Within a leaf all pairs are compared, block by block, in double precision.
 
 A pair may share leaves in several trees. It is counted in the first of them only, which
 both vectors know from the leaves they carry, so link counts are exact sums and no pair is
@@ -24,12 +24,14 @@ from quadrille.llm.common import materialize, small, spread
 from quadrille.llm.graph import connected_components
 
 TREES = 8
-#: Vectors that a leaf holds on average, and above which it is cut again.
-LEAF, LARGEST = 768, 4096
+#: Vectors that a leaf holds on average.
+LEAF = 768
+#: Cuts from root to leaf that are fitted on the sample, at most; deeper trees cut each leaf again.
+MOST_CUTS = 12
 #: Share of a node's vectors on either side of a cut that go both ways.
 SPILL = 0.03
-#: Vectors that the cuts are fitted on.
-SAMPLE = 20_000
+#: Vectors that the cuts are fitted on, at most.
+SAMPLE = 100_000
 THRESHOLD = 0.9
 #: Rows of a block of similarities.
 BLOCK = 512
@@ -101,7 +103,7 @@ def _router(shared):
                 for t, tree in enumerate(shared.value):
                     rows, leaf = tree.leaves(x)
                     all_rows.append(rows)
-                    all_leaves.append((t << 40) + leaf)
+                    all_leaves.append((t << 20) + leaf)
                 rows, leaves = np.concatenate(all_rows), np.concatenate(all_leaves)
                 order = np.lexsort((leaves, rows))
                 rows, leaves = rows[order], leaves[order]
@@ -111,6 +113,16 @@ def _router(shared):
     return run
 
 
+def _cut_again(depth: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by("rep")
+        leaf, x = key[0].as_py(), _stack(rows.column("unit").combine_chunks())
+        at, sub = Tree(x[:: -(-len(x) // SAMPLE)], depth, leaf + 1).leaves(x)
+        yield pa.RecordBatch.from_arrays([pa.array(rows.column("rep").to_numpy()[at]), pa.array((leaf << 24) + sub)], ["rep", "leaf"])
+
+    return run
+
+
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, the least value that two padded sorted tables share."""
     out = np.full(len(a), np.iinfo(np.int64).max)
@@ -210,12 +222,17 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees
     edges = counts = None
     for dim, n in sorted((r["dim"], r["count"]) for r in classes.groupBy("dim").count().collect()):
         own = classes.where(F.col("dim") == dim)
-        share = min(1.0, 2.0 * SAMPLE / n)
-        sample = own.where(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("unit")).limit(SAMPLE).select("unit").toArrow()
-        points = _stack(sample.column("unit").combine_chunks())
         depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
-        forest = spark.sparkContext.broadcast([Tree(points, min(depth, 14), 7919 * t + 1) for t in range(trees)])
+        top = min(depth, MOST_CUTS)
+        drawn = min(SAMPLE, 128 << top)
+        sample = own.where(F.pmod(F.xxhash64("unit"), F.lit(n)) < drawn).select("unit").toArrow()
+        points = _stack(sample.column("unit").combine_chunks()) if sample.num_rows else np.zeros((0, dim))
+        forest = spark.sparkContext.broadcast([Tree(points, top, 7919 * t + 1) for t in range(trees)])
         routed = own.select("rep", "size", "unit").repartition(spread(n, 4096)).mapInArrow(_router(forest), "rep long, size long, unit binary, leaves array<long>")
+        if depth > top:
+            finer = routed.select("rep", "unit", F.explode("leaves").alias("leaf")).groupBy("leaf").applyInArrow(_cut_again(depth - top), "rep long, leaf long")
+            finer = finer.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+            routed = materialize(routed.drop("leaves").join(finer, "rep"), "routed")
         found = routed.withColumn("leaf", F.explode("leaves")).groupBy("leaf").applyInArrow(_leaf_links(threshold), _LINKS)
         found = materialize(found, "found")
         counts = found if counts is None else counts.unionByName(found)

@@ -337,8 +337,10 @@ def test_embedding_forest(spark):
     assert embeddings.embedding_duplicates(df.limit(0)).count() == 0
 
 
-def test_small_leaves_count_each_pair_once(spark, monkeypatch):
+@pytest.mark.parametrize("cuts", [12, 2])
+def test_small_leaves_count_each_pair_once(spark, monkeypatch, cuts):
     monkeypatch.setattr(embeddings, "LEAF", 24)
+    monkeypatch.setattr(embeddings, "MOST_CUTS", cuts)
     rng = np.random.default_rng(9)
     x = np.repeat(rng.normal(size=(40, 12)), 5, axis=0) + 0.03 * rng.normal(size=(200, 12))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
