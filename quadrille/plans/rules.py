@@ -9,7 +9,7 @@ evaluated semi-naively: at least one body pattern reads only what the last round
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,13 +43,15 @@ class Rule:
     transform: Callable[[DataFrame], DataFrame] | None = None
     triggers: tuple[str, ...] | None = None
 
+    def scoped(self) -> Rule:
+        """The rule within each graph: all its patterns and heads share one graph variable."""
+        lift = lambda p: (*p[:3], "?__g")
+        return replace(self, head=tuple(map(lift, self.head)), body=tuple(map(lift, self.body)), unless=tuple(map(lift, self.unless)), emit=tuple(lift(p) if p else None for p in self.emit))
+
     def bound(self, parameters: dict[str, str]) -> Rule:
         """Parameters put in the place of variables of their names."""
         put = lambda p: tuple(parameters.get(x[1:], x) if x.startswith("?") else x for x in p)
-        return Rule(
-            self.name, tuple(map(put, self.head)), tuple(map(put, self.body)), self.where, self.bind, tuple(map(put, self.unless)),
-            tuple(put(p) if p else None for p in self.emit), self.when, self.transform, self.triggers,
-        )
+        return replace(self, head=tuple(map(put, self.head)), body=tuple(map(put, self.body)), unless=tuple(map(put, self.unless)), emit=tuple(put(p) if p else None for p in self.emit))
 
 
 @dataclass(frozen=True)
@@ -168,13 +170,17 @@ class Vocabulary:
 
 @dataclass
 class Closure:
-    """The state of one closure: asserted and inferred quads, and what each rule has done."""
+    """The state of one closure: asserted and inferred quads, and what each rule has done.
+
+    scoped: rules hold within each graph on its own, and conclude in it; else all graphs are
+    merged, and what is inferred goes to the inference graph.
+    """
 
     ruleset: Ruleset
     quads: DataFrame
     graph: str = "<urn:inf:main>"
     parameters: dict[str, str] = field(default_factory=dict)
-    default_triggers: bool = True
+    scoped: bool = False
 
     def __post_init__(self):
         missing = [k for k, v in self.ruleset.parameters.items() if v is None and k not in self.parameters]
@@ -182,7 +188,8 @@ class Closure:
             raise ValueError(f"parameters without a value: {missing}")
         self.values = {k: v for k, v in self.ruleset.parameters.items() if v is not None} | self.parameters
         self.base = written(self.quads.select("s", "p", "o", "g"), "asserted")
-        self.triples = written(self.base.select("s", "p", "o").distinct(), "triples")
+        self.columns = ["s", "p", "o", "g"] if self.scoped else ["s", "p", "o"]
+        self.triples = written(self.base.select(*self.columns).distinct(), "triples")
         self.has = [Vocabulary.of(self.triples, self.ruleset.rules)]  # of the asserted quads and of each batch
         self.inferred: list[DataFrame] = []
         self.batches: list[tuple[DataFrame, int]] = []  # what each round added, with its row count
@@ -228,7 +235,7 @@ class Closure:
         for rule in rules:
             since = self.seen.get(rule.name)
             self.seen[rule.name] = now
-            bound = rule.bound(values)
+            bound = rule.bound(values).scoped() if self.scoped else rule.bound(values)
             if since == now or (since is not None and not rule.body) or not all(map(known.may_match, bound.body)):
                 continue
             delta = places = None
@@ -239,16 +246,21 @@ class Closure:
                     continue
                 delta = reduce(lambda a, b: a.unionByName(b), [b for b, _ in self.batches[since:]])
                 delta = small(delta, sum(n for _, n in self.batches[since:]))
-            parts.append(derive(bound, everything, self.graph, delta, places).select("s", "p", "o", F.coalesce("g", F.lit(self.graph)).alias("g"), F.lit(rule.name).alias("rule")))
+            if self.scoped and not rule.body:
+                stated = derive(rule.bound(values), everything, self.graph).drop("g")
+                heads = stated.crossJoin(everything.select("g").distinct())  # a ruleset's axioms in every scope
+            else:
+                heads = derive(bound, everything, self.graph, delta, places)
+            parts.append(heads.select("s", "p", "o", F.coalesce("g", F.lit(self.graph)).alias("g"), F.lit(rule.name).alias("rule")))
         if not parts:
             return 0
-        found = reduce(lambda a, b: a.unionByName(b), parts).groupBy("s", "p", "o").agg(F.min("g").alias("g"), F.collect_set("rule").alias("rules"))
-        new = written(found.join(everything, ["s", "p", "o"], "left_anti"), "inferred")
+        found = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*self.columns).agg(*([] if self.scoped else [F.min("g").alias("g")]), F.collect_set("rule").alias("rules"))
+        new = written(found.join(everything, self.columns, "left_anti"), "inferred")
         by_rule = {r["rule"]: r["count"] for r in new.select(F.explode("rules").alias("rule")).groupBy("rule").count().collect()}
         n = new.count()
         if n:
             self.inferred.append(new.select("s", "p", "o", "g"))
-            self.batches.append((new.select("s", "p", "o"), n))
+            self.batches.append((new.select(*self.columns), n))
             self.has.append(Vocabulary.of(new, self.ruleset.rules))
         for k, v in by_rule.items():
             self.counts[k] = self.counts.get(k, 0) + v

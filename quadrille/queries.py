@@ -699,3 +699,38 @@ def closure_after_add(spark, d):
 @query(_PLACES + "SELECT (SELECT count(*) FROM abox) + (SELECT count(*) + count(DISTINCT n_regionkey) FROM nation) + 1 AS n")
 def void_count(spark, d):
     return stored(spark, d).statistics().select(whole("o").alias("n"))
+
+
+# --- closures graph by graph ------------------------------------------------------------
+
+def in_graphs(spark, d):
+    """The schema in a global graph; the customers of each nation in a graph of their own."""
+    q = places(spark, d)
+    return q.withColumn("g", F.when(F.col("p") == R.TYPE, F.concat(F.lit("<urn:g:of-"), key("o"), F.lit(">"))).otherwise(F.lit("<urn:g:schema>")))
+
+
+@query(_PLACES + """SELECT s, r AS o, 'urn:g:of-' || substr(n, 8) AS g FROM abox UNION ALL SELECT s, 'Place', 'urn:g:of-' || substr(n, 8) FROM abox
+    UNION ALL SELECT DISTINCT 'nation/' || n_nationkey, 'Place', 'urn:g:schema' FROM nation""")
+def rdfs_global_import(spark, d):
+    """What follows from the schema alone is concluded once, beside the schema, not in every graph."""
+    from quadrille.plans.scopes import global_import
+
+    rules = Ruleset("sub", tuple(r for r in R.rdfs_rules() if r.name in ("rdfs9", "rdfs11")))
+    found = global_import(rules, in_graphs(spark, d), "<urn:g:schema>")
+    return found.select(short("s").alias("s"), short("o").alias("o"), F.url_decode(F.regexp_extract("g", "urn:inf:(.*)>", 1)).alias("g"))
+
+
+@query(_PLACES + """SELECT s, r AS o, 'data' AS g FROM abox UNION ALL SELECT s, 'Place', 'data' FROM abox
+    UNION ALL SELECT DISTINCT 'nation/' || n_nationkey, 'Place', 'regions' FROM nation""")
+def rdfs_graph_import(spark, d):
+    """data imports nations; nations and regions import each other and are one scope."""
+    from quadrille.plans.scopes import graph_import
+
+    rules = Ruleset("sub", tuple(r for r in R.rdfs_rules() if r.name in ("rdfs9", "rdfs11")))
+    q = places(spark, d)
+    graph = F.when(F.col("p") == R.TYPE, "<urn:g:data>").when(F.col("o") == "<urn:Place>", "<urn:g:regions>").otherwise("<urn:g:nations>")
+    links = [("<urn:g:data>", "<urn:g:nations>"), ("<urn:g:nations>", "<urn:g:regions>"), ("<urn:g:regions>", "<urn:g:nations>")]
+    imports = pat.values(spark, list("spog"), [(a, t.owl("imports"), b, a) for a, b in links])
+    found = graph_import(rules, q.withColumn("g", graph).unionByName(imports))
+    name = F.regexp_extract(F.url_decode(F.regexp_extract("g", "urn:inf:(.*)>", 1)), "urn:g:(.*)", 1)
+    return found.select(short("s").alias("s"), short("o").alias("o"), F.when(name == "nations", "regions").otherwise(name).alias("g"))
