@@ -193,6 +193,7 @@ class Closure:
         self.has = [Vocabulary.of(self.triples, self.ruleset.rules)]  # of the asserted quads and of each batch
         self.inferred: list[DataFrame] = []
         self.batches: list[tuple[DataFrame, int]] = []  # what each round added, with its row count
+        self.levels: list[tuple[DataFrame, int]] = []  # the same rows, merged as they pile up
         self.seen: dict[str, int] = {}  # rule -> batches it has read
         self.counts: dict[str, int] = {}
         self.active: set[str] | None = None
@@ -207,7 +208,14 @@ class Closure:
         return reduce(lambda a, b: a.unionByName(b), self.inferred, empty)
 
     def _all(self) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b), [b for b, _ in self.batches], self.triples)
+        return reduce(lambda a, b: a.unionByName(b), [b for b, _ in self.levels], self.triples)
+
+    def _pile(self, batch: DataFrame, n: int) -> None:
+        """Keeps the tables that make up all quads few: one is merged with the next when that is half as large."""
+        self.levels.append((batch, n))
+        while len(self.levels) > 1 and self.levels[-2][1] <= 2 * self.levels[-1][1]:
+            (a, x), (b, y) = self.levels[-2:]
+            self.levels[-2:] = [(written(a.unionByName(b), "merged"), x + y)]
 
     def _task(self, task, values: dict) -> int:
         if isinstance(task, Eval):
@@ -261,6 +269,7 @@ class Closure:
         if n:
             self.inferred.append(new.select("s", "p", "o", "g"))
             self.batches.append((new.select(*self.columns), n))
+            self._pile(*self.batches[-1])
             self.has.append(Vocabulary.of(new, self.ruleset.rules))
         for k, v in by_rule.items():
             self.counts[k] = self.counts.get(k, 0) + v
