@@ -8,6 +8,7 @@ evaluated semi-naively: at least one body pattern reads only what the last round
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -96,6 +97,12 @@ class Ruleset:
                 raise ValueError(f"{r.name}: head variables {sorted(free)} are bound nowhere")
 
 
+    def digest(self) -> str:
+        """Tells rulesets apart by their rules' patterns, plan and defaults."""
+        text = repr([(r.name, r.head, r.body, r.unless, r.emit, r.triggers) for r in self.rules] + [self.plan if self.plan is None else type(self.plan).__name__, sorted(self.parameters.items(), key=str)])
+        return hashlib.md5(text.encode()).hexdigest()
+
+
 RULESETS: dict[str, Ruleset] = {}
 
 
@@ -103,6 +110,13 @@ def register(ruleset: Ruleset) -> None:
     RULESETS[ruleset.name] = ruleset
 
 
+def unregister(name: str) -> None:
+    """The built-in rulesets stay."""
+    if name in ("rdfs", "owl2rl"):
+        raise ValueError(f"{name} is built in")
+    RULESETS.pop(name, None)
+
+
 def solutions(rule: Rule, quads: DataFrame, delta: DataFrame | None = None, places: Sequence[int] | None = None) -> DataFrame:
     """The rule's body over quads; with delta, those solutions that use a delta quad somewhere.
 

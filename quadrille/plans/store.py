@@ -117,13 +117,14 @@ class Store:
         """Quads partitioned by whether they are inferred, and the state beside them."""
         both = self.asserted.withColumn("inferred", F.lit(False)).unionByName(self.inferred.withColumn("inferred", F.lit(True)))
         both.write.mode("overwrite").partitionBy("inferred").parquet(f"{path}/quads")
-        state = json.dumps({"status": self.status.name, "namespaces": self.namespaces, "rules": self.ruleset.name if self.ruleset else None})
+        state = json.dumps({"status": self.status.name, "namespaces": self.namespaces, "rules": self.ruleset.digest() if self.ruleset else None})
         self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
 
     def load(self, path: str) -> None:
+        """A closure that other rules made is stale."""
         quads = self.spark.read.schema("s string, p string, o string, g string, inferred boolean").parquet(f"{path}/quads")
         self.asserted, self.inferred = (quads.where(F.col("inferred") == b).drop("inferred") for b in (False, True))
         state = json.loads(self.spark.read.text(f"{path}/state").first()[0])
         self.namespaces = state["namespaces"]
-        same = state["rules"] == (self.ruleset.name if self.ruleset else None)
+        same = state["rules"] == (self.ruleset.digest() if self.ruleset else None)
         self.status = Status[state["status"]] if same else Status.STALE
