@@ -15,6 +15,7 @@ from quadrille.plans.rules import Closure, Eval, Fixpoint, Repeat, Rule, Ruleset
 from quadrille.plans.store import Store
 from quadrille.plans.transforms import strongly_connected
 from quadrille.sources import nquads
+from quadrille.sources import relational
 from quadrille.sources.relational import MAPS, predicate, quads
 
 QUERIES: dict = {}
@@ -56,6 +57,10 @@ def world(spark: SparkSession, sf_dir: str, *columns: str, tables=("region", "na
     return quads(spark, sf_dir, tables, columns or None, with_type)
 
 
+def star(spark: SparkSession, sf_dir: str, table: str, var: str, **variables: str) -> DataFrame:
+    return relational.star(spark.read.parquet(f"{sf_dir}/{table}.parquet"), MAPS[table], var, variables)
+
+
 _GEO = """
     WITH q AS (
         SELECT '<urn:t:region/' || r_regionkey || '>' AS s, 'r_name' AS p, r_name AS o, 'region' AS g FROM region
@@ -119,15 +124,13 @@ def project(spark, d):
 
 @query("SELECT p_size::BIGINT AS size, p_retailprice AS price FROM part WHERE p_size > 20 AND p_retailprice < p_size * 40")
 def filter_theta(spark, d):
-    q = world(spark, d, "p_size", "p_retailprice", tables=("part",))
-    both = pat.bgp(q, [("?p", pr("p_size"), "?size"), ("?p", pr("p_retailprice"), "?price")])
+    both = star(spark, d, "part", "p", size="p_size", price="p_retailprice")
     return both.select(whole("size").alias("size"), number("price").alias("price")).where("size > 20 and price < size * 40")
 
 
 @query("SELECT o_orderkey::VARCHAR AS k, upper(o_orderpriority) AS loud, round(o_totalprice / 2, 4) AS half FROM orders")
 def bind(spark, d):
-    q = world(spark, d, "o_orderpriority", "o_totalprice", tables=("orders",))
-    both = pat.bgp(q, [("?o", pr("o_orderpriority"), "?p"), ("?o", pr("o_totalprice"), "?t")])
+    both = star(spark, d, "orders", "o", p="o_orderpriority", t="o_totalprice")
     return both.select(key("o").alias("k"), F.upper(text("p")).alias("loud"), F.round(number("t") / 2, 4).alias("half"))
 
 
@@ -158,8 +161,8 @@ def customers_per_region(spark, d):
 @query("""SELECT o_orderkey::VARCHAR AS k, c_name AS customer, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey
           JOIN nation ON c_nationkey = n_nationkey""")
 def bgp_chain(spark, d):
-    q = world(spark, d, "o_custkey", "c_name", "c_nationkey", "n_name", tables=("orders", "customer", "nation"))
-    found = pat.bgp(q, [("?o", pr("o_custkey"), "?c"), ("?c", pr("c_name"), "?customer"), ("?c", pr("c_nationkey"), "?n"), ("?n", pr("n_name"), "?nation")])
+    stars = [star(spark, d, "orders", "o", c="o_custkey"), star(spark, d, "customer", "c", customer="c_name", n="c_nationkey"), star(spark, d, "nation", "n", nation="n_name")]
+    found = pat.join(pat.join(stars[0], stars[1]), stars[2])
     return found.select(key("o").alias("k"), text("customer").alias("customer"), text("nation").alias("nation"))
 
 
@@ -251,8 +254,7 @@ def distinct(spark, d):
 # --- aggregation ------------------------------------------------------------------------
 
 def _priced(spark, d):
-    q = world(spark, d, "o_orderstatus", "o_totalprice", "o_custkey", tables=("orders",))
-    found = pat.bgp(q, [("?o", pr("o_orderstatus"), "?f"), ("?o", pr("o_totalprice"), "?q"), ("?o", pr("o_custkey"), "?s")])
+    found = star(spark, d, "orders", "o", f="o_orderstatus", q="o_totalprice", s="o_custkey")
     return found.select(text("f").alias("flag"), number("q").alias("q"), F.col("s"))
 
 

@@ -62,6 +62,18 @@ def table_quads(df: DataFrame, mapping: TableMap, columns: Iterable[str] | None
     return exploded.select("s", "x.p", "x.o", F.lit(mapping.graph).alias("g")).where("o is not null")
 
 
+def star(df: DataFrame, mapping: TableMap, subject_var: str, variables: dict[str, str]) -> DataFrame:
+    """The solutions of a star of patterns (?subject, column, ?variable) over one table's quads.
+
+    variables: variable -> column. The table's rows are the solutions, so the star is one scan
+    of the columns it names instead of a join of a pattern for each; rows with a null have no
+    quad there and so no solution.
+    """
+    kinds = dict(df.dtypes)
+    term = lambda c: subject(mapping.links[c], c) if c in mapping.links else t.typed(F.col(c), kinds[c])
+    return df.dropna(subset=list(variables.values())).select(subject(mapping.table, *mapping.key).alias(subject_var), *(term(c).alias(v) for v, c in variables.items()))
+
+
 def quads(spark: SparkSession, sf_dir: str, tables: Iterable[str], columns: Iterable[str] | None = None, with_type: bool = True) -> DataFrame:
     out = None
     for name in tables:
