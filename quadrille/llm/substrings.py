@@ -152,7 +152,7 @@ def _survivors(rows: DataFrame, name: str) -> DataFrame:
     """Of (key, at[], hash[]), the places whose hash occurs twice or more: (key, at[])."""
     each = rows.select("key", F.explode(F.arrays_zip("at", "hash")).alias("x")).select("key", F.col("x.at").alias("at"), F.col("x.hash").alias("hash"))
     often = materialize(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), f"{name}-often")
-    return materialize(each.join(small(often, 8), "hash", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at")), name)
+    return materialize(each.join(often, "hash", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at")), name)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -188,7 +188,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     by_sequence = groups.join(cut.withColumnRenamed("key", "rep"), "rep", "left")
     by_sequence = materialize(by_sequence.where("rows > 1 or n_removed is not null"), "results")
     gone = (F.col("rows") > 1) & (F.col("n_words") >= WINDOW)
-    out = first.select("key", "doc_id", "n_words", "sha").join(small(by_sequence, 200), "sha", "left")
+    out = first.select("key", "doc_id", "n_words", "sha").join(by_sequence, "sha", "left")
     cols = [
         "doc_id",
         "n_words",
