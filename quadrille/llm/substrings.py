@@ -185,6 +185,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hit = _survivors(windows, "hit")
     cut = texts.join(hit, "key").select("key", "text", "at").mapInArrow(_without, "key long, n_removed long, kept_sha256 string, kept_text string")
     cut = materialize(cut if with_text else cut.drop("kept_text"), "cut")
+    spark.sql(f"DROP TABLE {name}")
     by_sequence = groups.join(cut.withColumnRenamed("key", "rep"), "rep", "left")
     by_sequence = materialize(by_sequence.where("rows > 1 or n_removed is not null"), "results")
     gone = (F.col("rows") > 1) & (F.col("n_words") >= WINDOW)
