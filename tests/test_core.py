@@ -218,3 +218,13 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(quads.schema).parquet(f"file://{tmp_path}/in")
     ingest(stream, store, f"file://{tmp_path}/check").awaitTermination(120)
     assert store.status is Status.CURRENT and store.has(u("x"), R.TYPE, u("B"))
+
+
+def test_star_is_the_join_of_its_patterns(spark):
+    from quadrille.sources.relational import TableMap, predicate, star, table_quads
+
+    df = spark.createDataFrame([(1, "a", 7), (2, None, 8), (3, "c", None)], "k long, name string, up long")
+    m = TableMap("t", ("k",), {"up": "u"})
+    joined = pat.bgp(table_quads(df, m), [("?x", predicate("name"), "?n"), ("?x", predicate("up"), "?u")])
+    got = star(df, m, "x", {"n": "name", "u": "up"})
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in joined.select("x", "n", "u").collect()] == [("<urn:t:t/1>", '"a"', "<urn:t:u/7>")]
