@@ -201,9 +201,8 @@ class Closure:
         if missing:
             raise ValueError(f"parameters without a value: {missing}")
         self.values = {k: v for k, v in self.ruleset.parameters.items() if v is not None} | self.parameters
-        self.base = written(self.quads.select("s", "p", "o", "g"), "asserted")
         self.columns = ["s", "p", "o", "g"] if self.scoped else ["s", "p", "o"]
-        self.triples = written(self.base.select(*self.columns).distinct(), "triples")
+        self.triples = written(self.quads.select(*self.columns).distinct(), "triples")
         self.has = [Vocabulary.of(self.triples, self.ruleset.rules)]  # of the asserted quads and of each batch
         self.inferred: list[DataFrame] = []
         self.batches: list[tuple[DataFrame, int]] = []  # what each round added, with its row count
@@ -218,7 +217,7 @@ class Closure:
         return self.result()
 
     def result(self) -> DataFrame:
-        empty = self.base.limit(0)
+        empty = self.quads.sparkSession.createDataFrame([], "s string, p string, o string, g string")
         return reduce(lambda a, b: a.unionByName(b), self.inferred, empty)
 
     def _all(self) -> DataFrame:
@@ -278,8 +277,8 @@ class Closure:
             return 0
         found = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*self.columns).agg(*([] if self.scoped else [F.min("g").alias("g")]), F.collect_set("rule").alias("rules"))
         new = written(found.join(everything, self.columns, "left_anti"), "inferred")
-        by_rule = {r["rule"]: r["count"] for r in new.select(F.explode("rules").alias("rule")).groupBy("rule").count().collect()}
         n = new.count()
+        by_rule = {r["rule"]: r["count"] for r in new.select(F.explode("rules").alias("rule")).groupBy("rule").count().collect()} if n else {}
         if n:
             self.inferred.append(new.select("s", "p", "o", "g"))
             self.batches.append((new.select(*self.columns), n))
