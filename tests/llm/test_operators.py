@@ -350,6 +350,50 @@ def test_small_leaves_count_each_pair_once(spark, monkeypatch, cuts):
     assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.9 * true.sum()
 
 
+@pytest.mark.parametrize("wide", [0.14, 0.27])
+def test_groups_larger_than_a_leaf_are_whole(spark, monkeypatch, wide):
+    """A third of the rows in one group: tight, all decided in bulk; loose, most pairs compared."""
+    monkeypatch.setattr(embeddings, "LEAF", 64)
+    monkeypatch.setattr(embeddings, "BLOCK_CELLS", 1)
+    rng = np.random.default_rng(5)
+    dim, n, group = 64, 4800, 1600
+    x = rng.normal(size=(n, dim))
+    x[:group] = rng.normal(size=dim) + wide * rng.normal(size=(group, dim))
+    x[group : group + 300] = np.repeat(rng.normal(size=(100, dim)), 3, axis=0) + 0.1 * rng.normal(size=(300, dim))
+    df = spark.createDataFrame([(i - 50, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.embedding_duplicates(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    links = np.array([got[i - 50]["n_links"] for i in range(n)])
+    assert (links[:group] == true[:group]).all() and true[:group].sum() > 0.9 * group**2
+    assert (links <= true).all() and links[group:].sum() >= 0.95 * true[group:].sum()
+    assert {got[i - 50]["component_id"] for i in range(group)} == {-50}
+
+
+def test_balls_count_each_pair_once(spark):
+    """Several overlapping balls: bulk counts, compared blocks and components against all pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=24)
+    x = np.concatenate([base + 0.5 * rng.normal(size=24) + rng.choice([0.05, 0.2, 0.4]) * rng.normal(size=(n, 24)) for n in (300, 200, 400, 1, 100)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T
+    pivots = np.array([embeddings._direction(unit[a:b].mean(axis=0)) for a, b in ((0, 300), (300, 500), (500, 900))])
+    theta = float(np.arccos(0.9))
+    step, s = theta / embeddings.RINGS, unit @ pivots.T
+    ball, angle = s.argmax(axis=1), np.arccos(s.max(axis=1))
+    rows = [(i, 1 + i % 3, unit[i].tobytes(), int(ball[i]), int(angle[i] / step)) for i in range(len(x))]
+    members = spark.createDataFrame(rows, "rep long, size long, unit binary, ball int, ring int")
+    found = embeddings._ball_links(members, pivots, 0.9, theta, step, 64).collect()
+    links = np.zeros(len(x), int)
+    for r in found:
+        links[r["rep"]] += r["links"]
+    size = np.array([1 + i % 3 for i in range(len(x))])
+    assert (links == (near >= 0.9) @ size - size).all()
+    edges = [(r["rep"], r["other"]) for r in found if r["other"] is not None]
+    assert all(near[a, b] >= 0.9 for a, b in edges)
+    assert components(range(len(x)), edges) == components(range(len(x)), np.argwhere(np.triu(near >= 0.9, 1)).tolist())
+
+
 # --- 9 ----------------------------------------------------------------------------------
 
 def shingles(text):
