@@ -163,6 +163,7 @@ class Vocabulary:
     predicates: frozenset
     pairs: frozenset
     objects: frozenset  # those that pairs were looked up for
+    names: frozenset  # the predicates that were looked up
 
     @classmethod
     def of(cls, quads: DataFrame, rules: Sequence[Rule]) -> Vocabulary:
@@ -171,14 +172,16 @@ class Vocabulary:
         objects = sorted({p[2] for p in patterns if not p[2].startswith("?") and not p[1].startswith("?")})
         kept = F.when(F.col("o").isin(objects), F.col("o")) if objects else F.lit(None)
         found = quads.where(F.col("p").isin(names)).select("p", kept.alias("o")).distinct().collect() if names else []
-        return cls(frozenset(r["p"] for r in found), frozenset((r["p"], r["o"]) for r in found if r["o"]), frozenset(objects))
+        return cls(frozenset(r["p"] for r in found), frozenset((r["p"], r["o"]) for r in found if r["o"]), frozenset(objects), frozenset(names))
 
     def __or__(self, other: Vocabulary) -> Vocabulary:
-        return Vocabulary(self.predicates | other.predicates, self.pairs | other.pairs, self.objects)
+        return Vocabulary(self.predicates | other.predicates, self.pairs | other.pairs, self.objects, self.names)
 
     def may_match(self, pattern: Pattern) -> bool:
         if pattern[1].startswith("?"):
             return True
+        if pattern[1] not in self.names:  # a bound parameter: not looked up
+            return True
         return (pattern[1], pattern[2]) in self.pairs if pattern[2] in self.objects else pattern[1] in self.predicates
 
 

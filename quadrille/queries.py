@@ -625,6 +625,13 @@ def rule_params(spark, d):
     return closure(Ruleset("p", (rule,), Eval(), {"region": None, "on": "yes"}), geo(spark, d), region="<urn:t:region/2>").select(short("s").alias("s"))
 
 
+@query("SELECT 'nation/' || n_nationkey AS s FROM nation WHERE n_regionkey = 2")
+def rule_predicate_params(spark, d):
+    """The predicate of a body pattern is a parameter, which no rule names as a constant."""
+    rule = Rule("p", (("?n", "<urn:is>", "<urn:wanted>"),), (("?n", "?prop", "<urn:t:region/2>"),))
+    return closure(Ruleset("pp", (rule,), Fixpoint(Eval()), {"prop": None}), geo(spark, d), prop=pr("n_regionkey")).select(short("s").alias("s"))
+
+
 @query("SELECT r_name AS name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def task_repeat(spark, d):
     """The task runs once for each region, its IRI bound."""

@@ -7,7 +7,7 @@ from quadrille.functions import scalars as S
 from quadrille.functions import terms as t
 from quadrille.operators import patterns as pat
 from quadrille.plans import rulesets as R
-from quadrille.plans.rules import Closure, Eval, Rule, Ruleset, closure
+from quadrille.plans.rules import Closure, Eval, Repeat, Rule, Ruleset, closure
 from quadrille.plans.store import Status, Store
 from quadrille.plans.transforms import strongly_connected
 from quadrille.sources import nquads
@@ -96,6 +96,16 @@ def test_missing_parameter(spark):
         Closure(rules, q(spark, (u("a"), u("p"), u("b"))))
 
 
+def test_predicates_can_be_parameters(spark):
+    """No rule names the predicate as a constant, so the first look at the quads does not ask for it."""
+    rule = Rule("r", (("?x", u("is"), u("v")),), (("?x", "?prop", "?y"), ("?y", u("q"), "?z")))
+    quads = q(spark, (u("a"), u("p"), u("b")), (u("b"), u("q"), u("c")), (u("d"), u("p2"), u("b")))
+    once = Ruleset("p", (rule,), Eval(), {"prop": None})
+    assert triples(closure(once, quads, prop=u("p"))) == {(u("a"), u("is"), u("v"))}
+    each = Repeat(lambda d: pat.values(spark, ["prop"], [(u("p"),), (u("p2"),), (u("none"),)]), Eval())
+    assert triples(closure(Ruleset("r", (rule,), each, {"prop": u("none")}), quads)) == {(u("a"), u("is"), u("v")), (u("d"), u("is"), u("v"))}
+
+
 def test_literal_subjects_are_dropped(spark):
     found = closure(R.rdfs_ruleset(), q(spark, (u("p"), R.RANGE, u("C")), (u("a"), u("p"), '"text"'), (u("a"), u("p"), u("b"))), full="false", axioms="false")
     got = triples(found)
