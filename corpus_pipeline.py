@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (similarity 0.85 on five-word shingles) the least id stays."""
-    return drop_near_duplicates(docs)
+    """Of each group of near duplicates (similarity 0.8 on five-word shingles) the least id stays."""
+    return drop_near_duplicates(docs, percent=80, bands=48, rows=6)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -271,7 +271,7 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, all columns kept."""
-    gone = materialize(near_duplicates(docs, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)), "near")
+    gone = materialize(near_duplicates(docs, percent, bands, rows, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)), "near")
     return docs.join(small(gone.distinct(), 8), id_col, "left_anti")

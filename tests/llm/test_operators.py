@@ -513,3 +513,16 @@ def test_pipeline_stages_take_effect(spark, corpus, tmp_path):
     norm = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in corpus}
     assert len(seen["exact_dedup"]) == len(norm) and 110 in seen["near_dedup"] and not {111, 120, 121, 130} & set(seen["near_dedup"])
     assert set(seen["mixing"]) <= set(seen["near_dedup"]) and set(seen["packing"]) == set(seen["mixing"])
+
+
+def test_near_dedup_stage_drops_at_four_fifths(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    base, tail = prose(rng, 100).split(), [f"other{i}" for i in range(11)]
+    texts = [(1, " ".join(base)), (2, " ".join(base[:-9] + tail[:9])), (3, " ".join(base[11:] + tail))]
+    sets = {i: shingles(t) for i, t in texts}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert 0.82 < alike(1, 2) < 0.83 and alike(1, 3) < 0.8 and alike(2, 3) < 0.8
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs_of(spark, texts, extra=False), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
