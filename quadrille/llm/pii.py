@@ -3,9 +3,11 @@
 Base entities (email, ip, card, phone) are found by pattern. A term of the same line can give
 an entity away even when the entity itself is masked. How much it does is estimated on the
 corpus: with lines as contexts, IC(e) = -log2 p(e), and a term t discloses PMI(e; t) =
-log2 p(e, t) / (p(e) p(t)) of it. Terms that disclose at least a set share of IC(e), on
-enough different lines, become spans too: they are removed if they disclose all of it, else
-generalised. All of it is DataFrame functions.
+log2 p(e, t) / (p(e) p(t)) of it. Terms that surely disclose at least a set share of IC(e)
+become spans too: they are removed if they disclose all of it, else generalised. Sure is a
+lower bound: n different lines that show both count as n of n + 1 (Wilson's bound of n hits
+in n at one standard error), so one line is enough where the entity is rare, as personal
+data is, and not where a bit of doubt is a large share of IC(e). All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ MAYBE = {
     "phone": lambda t: t.contains("+"),
 }
 TERM = r"[\p{L}\p{N}]++"
-#: A term is disclosing if PMI(e; t) >= SHARE * IC(e), seen together on SUPPORT different lines.
-SHARE, REMOVE, SUPPORT = 0.9, 0.999, 3
+#: A term is disclosing if the lower bound of PMI(e; t) >= SHARE * IC(e), and removed if PMI(e; t) >= REMOVE * IC(e).
+SHARE, REMOVE = 0.9, 0.999
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -109,7 +111,7 @@ def disclosing_terms(entities: DataFrame, docs_text: DataFrame, lines: int) -> D
     met = entities.select("key", "line_start", "entity", F.xxhash64("line").alias("form"), F.explode(_terms(masked)).alias("term"))
     met = materialize(met, "met")
     pairs = met.groupBy("entity", "term", "form").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("forms"))
-    pairs = materialize(pairs.where(F.col("forms") >= SUPPORT), "pairs")
+    pairs = materialize(pairs, "pairs")
     alone = materialize(entities.groupBy("entity").agg(F.count("*").alias("with_entity")), "alone")
     wanted = materialize(pairs.select("term").distinct(), "terms")
     # Marginals: every line of every text, each term once a line; only terms in question go on.
@@ -118,7 +120,8 @@ def disclosing_terms(entities: DataFrame, docs_text: DataFrame, lines: int) -> D
     ic = F.log2(F.lit(float(max(lines, 1))) / F.col("with_entity"))
     pmi = F.log2(F.col("together") * float(max(lines, 1)) / (F.col("with_entity") * F.col("with_term")))
     told = pairs.join(small(alone, 60), "entity").join(small(marginal, 48), "term")
-    told = told.where((ic > 0) & (pmi >= SHARE * ic)).select("entity", "term", (pmi >= REMOVE * ic).alias("remove"))
+    bound = pmi + F.log2(F.col("forms") / (F.col("forms") + 1.0))
+    told = told.where((ic > 0) & (bound >= SHARE * ic)).select("entity", "term", (pmi >= REMOVE * ic).alias("remove"))
     told = materialize(told, "disclosing")
     return met.join(small(told, 100), ["entity", "term"]).groupBy("key", "line_start", "term").agg(F.max("remove").alias("remove"))
 

@@ -290,6 +290,12 @@ def test_disclosing_terms_become_spans(spark):
     assert "Zebulon" not in clean[0] and "zeb@" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == dict(texts)[100]
 
 
+def test_a_rare_entity_is_disclosed_by_one_line(spark):
+    texts = [(i, "\n".join("ask us via the desk" for _ in range(30))) for i in range(50)] + [(90, "ask Quillon via quil@y.org the desk")]
+    rows = {r["doc_id"]: r["spans"] for r in pii.report(pii.find_personal_data(docs_of(spark, texts))).collect()}
+    assert [s for s in rows[90].split(",") if s.startswith("term")] == ["term:4:11"] and not rows[0]
+
+
 # --- 7 ----------------------------------------------------------------------------------
 
 def test_exact_duplicates(spark, corpus):
