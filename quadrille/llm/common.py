@@ -27,6 +27,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     given = spark.sparkContext.getCheckpointDir()
     if given is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="spark-quadrille-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -47,6 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """(row, doc): every row of df, written once, under a number of its own that later steps join on.
+
+    Null and repeated ids stay apart this way, and no column of df can clash with another.
+    """
+    return materialize(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")), "rows")
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, a written table, with a broadcast hint if it is below the limit; else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -461,3 +461,20 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees
     out = unit.join(small(classes, 700), "unit", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+
+
+#: All pairs, which SQL can afford on a small table only.
+ORACLE = """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+        WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+    reach(vec_id, other) AS (
+        SELECT DISTINCT a, a FROM links UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a),
+    least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+    n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(least.component_id, e.vec_id) AS component_id,
+           coalesce(least.component_id, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN least ON e.vec_id = least.vec_id"""

@@ -41,12 +41,13 @@ class CountingQuotientFilter:
         remainders = values & np.uint64((1 << (64 - quotient_bits)) - 1)
         return cls(quotient_bits, run_ends, remainders, n)
 
+    def _quotients(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.run_ends)), np.diff(self.run_ends, prepend=0))
+
     def fingerprints(self) -> np.ndarray:
-        lengths = np.diff(self.run_ends, prepend=0)
-        quotients = np.repeat(np.arange(len(self.run_ends), dtype=np.uint64), lengths)
         if not self.quotient_bits:
             return self.remainders
-        return (quotients << np.uint64(64 - self.quotient_bits)) | self.remainders
+        return (self._quotients().astype(np.uint64) << np.uint64(64 - self.quotient_bits)) | self.remainders
 
     def count(self, fingerprint: int) -> int:
         q = fingerprint >> (64 - self.quotient_bits) if self.quotient_bits else 0
@@ -55,22 +56,54 @@ class CountingQuotientFilter:
         at = lo + np.searchsorted(self.remainders[lo:hi], remainder)
         return int(self.counts[at]) if at < hi and self.remainders[at] == remainder else 0
 
+    def _with(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """One pass over two filters of the same quotients: where each slot of `other` falls among
+        the slots of this one; equal ones add their counts, the others are put in between."""
+        mine, theirs = self.fingerprints(), other.fingerprints()
+        at = np.searchsorted(mine, theirs)
+        same = np.zeros(len(theirs), bool)
+        inside = at < len(mine)
+        same[inside] = mine[at[inside]] == theirs[inside]
+        counts = self.counts.copy()
+        counts[at[same]] += other.counts[same]
+        new = ~same
+        lengths = np.diff(self.run_ends, prepend=0) + np.bincount(other._quotients()[new], minlength=len(self.run_ends))
+        return CountingQuotientFilter(
+            self.quotient_bits,
+            np.cumsum(lengths).astype(np.int32),
+            np.insert(self.remainders, at[new], other.remainders[new]),
+            np.insert(counts, at[new], other.counts[new]),
+        )
+
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        bits = filters[0].quotient_bits
-        return cls.build(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]), bits)
+        """Filters merge in pairs, so that a slot is moved as often as the logarithm of their number."""
+        while len(filters) > 1:
+            filters = [a._with(b) for a, b in zip(filters[::2], filters[1::2])] + filters[len(filters) & ~1 :]
+        return filters[0]
 
     def to_row(self) -> dict:
+        """Remainders take the bytes that they need; counts, mostly one, take a byte, and those above
+        254 follow in full."""
+        width = -(-(64 - self.quotient_bits) // 8)
+        packed = self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        large = self.counts > 254
         return {
             "run_ends": self.run_ends.tobytes(),
-            "remainders": self.remainders.astype("<u8").tobytes(),
-            "counts": self.counts.astype("<i8").tobytes(),
+            "remainders": packed.tobytes(),
+            "counts": np.where(large, 255, self.counts).astype(np.uint8).tobytes() + self.counts[large].astype("<i8").tobytes(),
         }
 
     @classmethod
     def from_row(cls, run_ends: bytes, remainders: bytes, counts: bytes) -> CountingQuotientFilter:
         ends = np.frombuffer(run_ends, np.int32)
-        return cls((len(ends) - 1).bit_length(), ends, np.frombuffer(remainders, "<u8"), np.frombuffer(counts, "<i8"))
+        bits = (len(ends) - 1).bit_length()
+        width, n = -(-(64 - bits) // 8), int(ends[-1])
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(remainders, np.uint8).reshape(n, width)
+        own = np.frombuffer(counts, np.uint8, n).astype(np.int64)
+        own[own == 255] = np.frombuffer(counts, "<i8", offset=n)
+        return cls(bits, ends, wide.view("<u8").ravel().astype(np.uint64), own)
 
 
 def _blocks_of_partition(block_bits: int, quotient_bits: int):
@@ -139,8 +172,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when they are identical after each run of ASCII white space is replaced
     by one space; of equal texts the smallest id stays. A null text counts as empty; an empty
-    table gives no rows; other columns are ignored. Ids are taken to be unique: of rows that
-    repeat an id, each is reported, and all that share the kept id are kept.
+    table gives no rows; other columns are ignored. Rows without an id are counted and go if a
+    copy has an id; copies of which none has one are all kept, with a null keep_id. Of rows
+    that repeat an id, each is reported, and all that share the kept id and text are kept.
     """
     norm = normalised(F.col(text_col))
     keys = materialize(
@@ -151,28 +185,32 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     filters, block_bits = build_filter(keys.select("fp"), keys.count())
     hot = materialize(repeated(filters, block_bits).select("fp"), "repeated")
-    suspects = materialize(keys.join(small(hot, 8), "fp", "left_semi").select("doc_id"), "suspects")
-    # Byte verification: whole texts are grouped; copies meet in the map-side aggregate first.
+    suspects = materialize(keys.join(small(hot, 8), "fp", "left_semi").select(F.col("doc_id").alias("suspect")).distinct(), "suspects")
+    # Byte verification: whole texts are grouped; copies meet in the map-side aggregate first. A row
+    # that only shares an id with a suspect, or like one has none, is a group of its own.
     groups = materialize(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .join(small(suspects.distinct(), 8), "doc_id", "left_semi")
-        .select("doc_id", normalised(F.col("text")).alias("norm"))
-        .groupBy("norm")
+        .join(small(suspects, 8), F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi")
+        .groupBy(normalised(F.col("text")).alias("norm"))
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
         .select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"),
         "groups",
     )
+    keep = F.coalesce("keep_id", "doc_id")
     return keys.join(small(groups, 100), "text_sha256", "left").select(
         "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
+        keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (F.coalesce("keep_id", "doc_id") == F.col("doc_id")).alias("kept"),
+        keep.eqNullSafe(F.col("doc_id")).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies, all columns kept."""
-    stay = materialize(exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)), "copies")
-    return docs.join(small(stay.distinct(), 8), id_col, "left_anti")
+    """docs without the copies, all columns kept. A row goes by its id and its text, so rows that
+    share an id with a copy stay; see exact_duplicates for rows without an id."""
+    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
+    gone = small(materialize(gone, "copies"), 100)
+    same = docs[id_col].eqNullSafe(gone["gone_id"]) & (F.sha2(normalised(docs[text_col]), 256) == gone["gone_text"])
+    return docs.join(gone, same, "left_anti")

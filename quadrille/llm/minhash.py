@@ -275,3 +275,23 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS,
     """docs with one document of each component, all columns kept."""
     gone = materialize(near_duplicates(docs, percent, bands, rows, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)), "near")
     return docs.join(small(gone.distinct(), 8), id_col, "left_anti")
+
+
+ORACLE = rf"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS shingle
+        FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM pairs JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id
+        WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+    reach(doc_id, other) AS (
+        SELECT DISTINCT a, a FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a),
+    least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id,
+           coalesce(least.component_id, d.doc_id) = d.doc_id AS kept
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least ON d.doc_id = least.doc_id"""

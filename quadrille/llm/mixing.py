@@ -7,7 +7,9 @@ the sorted documents, by a prefix sum of sizes. All of it is DataFrame functions
 
 The prefix sum runs in two levels, so that no source, however large, meets in one task: the
 keys are cut into slices by a monotone function, slices are summed for each source, and only
-then is a window run within a slice.
+then is a window run within a slice. The function is the source's own distribution of keys:
+a document of weight w has an exponential key of rate w, so the histogram of weights gives
+the share of keys below any value, and slices come out even under any weights.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import SPACE, WORD, materialize, small, spread
+from quadrille.llm.common import WORD, materialize, numbered, small
 
 #: Weights given to the sources in turn, by code point.
 WEIGHTS = (5, 2, 1)
@@ -24,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of one source that share a slice, on average.
 SLICE_ROWS = 5_000
+#: Classes of weights to a power of ten in the histogram that slices are cut by.
+WEIGHT_CLASSES = 128
 
 
 def words(text: Column) -> Column:
@@ -41,9 +45,10 @@ def quality_weight(text: Column) -> Column:
     return F.when(length == 0, 0.1).otherwise(F.lit(1.0) - 0.9 * F.least(F.lit(1.0), 4.0 * odd / length))
 
 
-def uniform(doc_id: Column) -> Column:
-    """A draw from (0, 1) fixed by the id, so that reruns agree."""
-    return (F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A draw from (0, 1) fixed by the id (of rows without one, by the text), so that reruns agree."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -70,24 +75,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levels.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row.
+def _sliced(keyed: DataFrame) -> DataFrame:
+    """Adds `slice`: a source's rows cut by key into slices of SLICE_ROWS on average.
 
-    size counts the words (null or empty text: 0); taken counts the words that the mix takes,
-    repeats included: complete epochs, then the prefix of the sorted source that fills the
-    rest of the target, of whose last document only the missing words are taken. A null
-    source is a source of its own. An empty table gives no rows; rows that share an id are
-    separate documents that follow each other in the order.
+    keyed: a written table with source, w and key. The share of keys below k is the sum over
+    classes of weights of their share * (1 - exp(-weight * k)); it rises with k, so slices
+    follow the order of keys.
     """
-    text = F.col(text_col)
-    sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text).alias("size"), quality_weight(text).alias("w")),
-        "sizes",
+    classes = keyed.groupBy("source", F.floor(F.lit(-WEIGHT_CLASSES) * F.log10("w")).alias("class")).agg(F.count("*").alias("rows"), F.avg("w").alias("rate"))
+    curves = classes.groupBy(F.col("source").alias("of")).agg(F.sum("rows").alias("all"), F.collect_list(F.struct("rate", "rows")).alias("curve"))
+    curves = materialize(curves, "curves")
+    below = F.aggregate("curve", F.lit(0.0), lambda acc, x: acc + x["rows"] * (1.0 - F.exp(-x["rate"] * F.col("key"))))
+    cuts = F.ceil(F.col("all") / F.lit(SLICE_ROWS))
+    held = keyed.join(small(curves, 32 + 16 * 2 * WEIGHT_CLASSES), F.col("source").eqNullSafe(F.col("of")))
+    return held.withColumn("slice", F.least(cuts - 1, F.floor(below / F.col("all") * cuts))).drop("of", "all", "curve")
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """docs (row, doc_id, text, source) as (row, doc_id, size, source_size, target, taken)."""
+    text = F.col("text")
+    key = -F.log(uniform(F.col("doc_id"), text)) / F.col("w")
+    keyed = materialize(
+        docs.select("row", "doc_id", "source", "text", words(text).alias("size"), quality_weight(text).alias("w")).withColumn("key", key).drop("text"), "keys"
     )
-    slices = spread(sized.count(), SLICE_ROWS)
-    key = -F.log(uniform(F.col("doc_id"))) / F.col("w")
-    # Any monotone function of the key orders as the key does; this one spreads keys of mean one evenly.
-    keyed = sized.withColumn("key", key).withColumn("slice", F.floor((1.0 - F.exp(-F.col("key"))) * (slices - 1e-9)))
+    keyed = _sliced(keyed)
     sums = materialize(keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
     targets = materialize(source_targets(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size"))), "targets")
     upto = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
@@ -101,12 +112,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         small(slices_before, 64),
         keyed["source"].eqNullSafe(slices_before["in_source"]) & (keyed["slice"] == slices_before["in_slice"]),
     )
-    within = W.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("slice_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     words_wanted = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(words_wanted / F.col("source_size"))).otherwise(0)
     rest = words_wanted - epochs * F.col("source_size")
     return joined.withColumn("start", start).select(
+        "row",
         "doc_id",
         "size",
         "source_size",
@@ -115,18 +127,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row.
+
+    size counts the words (null or empty text: 0); taken counts the words that the mix takes,
+    repeats included: complete epochs, then the prefix of the sorted source that fills the
+    rest of the target, of whose last document only the missing words are taken. A null
+    source is a source of its own. An empty table gives no rows; rows that share an id, or
+    have none, are separate documents. Of rows that share an id and thus a key, the shorter
+    comes first.
+    """
+    own = docs.select(F.lit(0).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    return _mixed(own).drop("row")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: each row as often as it is taken, whole; a document of which
-    half or more of the words are taken once more counts, so that texts are never cut."""
-    plan = materialize(
-        mix(docs, id_col, text_col, source_col)
-        .where("size > 0")
-        .select(F.col("doc_id").alias(id_col), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-        .where("copies > 0"),
-        "copies",
-    )
-    out = docs.join(small(plan, 16), id_col).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns)
+    half or more of the words are taken once more counts, so that texts are never cut. Rows
+    that share an id, or have none, each get their own copies; rows without words get none."""
+    held = numbered(docs)
+    own = held.select("row", F.col("doc")[id_col].alias("doc_id"), F.col("doc")[text_col].alias("text"), F.col("doc")[source_col].alias("source"))
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    plan = materialize(_mixed(own).where("size > 0").select("row", copies.alias("copies")).where("copies > 0"), "copies")
+    out = held.join(small(plan, 16), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select("doc.*")
 
 
 ORACLE = rf"""

@@ -11,13 +11,14 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives are written to the shared folder and read back by the salvage reader."""
     from pyspark.sql import functions as F
 
-    from quadrille.llm.common import scratch_path
-    from quadrille.llm.warc import read_warc, write_warc
+    from quadrille.llm.common import materialize, scratch_path
+    from quadrille.llm.warc import log_gaps, read_warc, write_warc
 
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    records = read_warc(spark, path, with_payload=False).where("kind = 'record'")
-    return records.select(
+    read = materialize(read_warc(spark, path, with_payload=False).drop("payload"), "records")
+    log_gaps(read, f"{path}-gaps")
+    return read.where("kind = 'record'").select(
         F.expr(r"try_cast(regexp_extract(record_id, '^urn:page:(-?[0-9]+)$', 1) as long)").alias("page_id"),
         "payload_bytes",
         "payload_digest",
@@ -91,7 +92,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quadrille.llm import mixing
+    from quadrille.llm import embeddings, minhash, mixing, substrings
 
     return {
         "op1_warc_salvage": r"""
@@ -112,4 +113,7 @@ def oracle_sql() -> dict[str, str]:
                    min(doc_id) OVER (PARTITION BY norm) = doc_id AS kept,
                    sha256(norm) AS text_sha256
             FROM d""",
+        "op8_projection_forest": embeddings.ORACLE,
+        "op9_minhash": minhash.ORACLE,
+        "op10_repeated_passages": substrings.ORACLE,
     }

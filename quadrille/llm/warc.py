@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from quadrille.llm.common import materialize, small
 REVISIT_BYTES = 100
 #: Size of an archive that the writer aims at.
 ARCHIVE_BYTES = 24 << 20
+#: Bytes that a gzip member is fed in, and the content of one, at most.
+CHUNK, MEMBER_BYTES = 1 << 16, 1 << 30
 RECORD_END = "\r\n\r\n"
 
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -84,23 +87,40 @@ def payload_of(headers: dict, block: bytes) -> bytes:
     return block
 
 
-def _record(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """The records of the plain record or gzip member at `at`, and where it ends."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        headers, block, end = _plain_record(data, at)
-        return [(headers, block)], end
-    member = zlib.decompressobj(31)
+def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member at `at`, and where it ends; fed in chunks, so that what follows
+    the member is not touched, and given up beyond MEMBER_BYTES."""
+    member, view, out, held, place = zlib.decompressobj(31), memoryview(data), [], 0, at
     try:
-        inner = member.decompress(data[at:]) + member.flush()
+        while not member.eof and place < len(data):
+            chunk = view[place : place + CHUNK]
+            place += len(chunk)
+            while True:
+                out.append(member.decompress(chunk, MEMBER_BYTES + 1 - held))
+                held += len(out[-1])
+                if held > MEMBER_BYTES:
+                    raise Damaged("gzip member too large")
+                chunk = member.unconsumed_tail
+                if not chunk:
+                    break
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from None
     if not member.eof:
         raise Damaged("truncated gzip member")
+    return b"".join(out), place - len(member.unused_data)
+
+
+def _record(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
+    """The records of the plain record or gzip member at `at`, and where it ends."""
+    if data[at : at + 2] != b"\x1f\x8b":
+        headers, block, end = _plain_record(data, at)
+        return [(headers, block)], end
+    inner, after = _inflated(data, at)
     found, place = [], 0
     while place < len(inner):
         headers, block, place = _plain_record(inner, place)
         found.append((headers, block))
-    return found, len(data) - len(member.unused_data)
+    return found, after
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None, bytes | str]]:
@@ -180,6 +200,17 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     return files.mapInArrow(_reader(with_payload), _READ_DDL)
 
 
+def log_gaps(read: DataFrame, path: str) -> tuple[int, int]:
+    """Writes the gaps of `read`, a written table of what read_warc gives, to path as Parquet, and warns
+    of them: (number of gaps, bytes in them). Nothing is written if there is none."""
+    gaps = read.where("kind = 'gap'").select("path", "start", "end", "reason")
+    n, lost = gaps.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    if n:
+        gaps.write.mode("append").parquet(path)
+        warnings.warn(f"{n} damaged byte ranges, {lost} bytes, are left out; see {path}", stacklevel=2)
+    return n, lost
+
+
 # --- writing ----------------------------------------------------------------------------
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:

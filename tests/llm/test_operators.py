@@ -104,6 +104,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"{path}-empty").where("kind = 'record'").count() == 0
 
 
+def test_damaged_archives_are_read_and_their_gaps_logged(spark, tmp_path):
+    parts = [record(i, f"page {i} ".encode() * 30) for i in range(5)]
+    bad = bytearray(parts[2])
+    bad[-30] ^= 1
+    (tmp_path / "a.warc").write_bytes(b"".join([*parts[:2], bytes(bad), *parts[3:]]))
+    (tmp_path / "b.warc.gz").write_bytes(warc.gzip_members(parts)[:-5])
+    read = warc.read_warc(spark, f"file://{tmp_path}/*.warc*").cache()
+    ids = sorted((r["path"][-1], r["record_id"]) for r in read.where("kind = 'record'").collect())
+    assert ids == [("c", f"urn:page:{i}") for i in (0, 1, 3, 4)] + [("z", f"urn:page:{i}") for i in range(4)]
+    with pytest.warns(UserWarning, match="2 damaged byte ranges"):
+        n, lost = warc.log_gaps(read, f"file://{tmp_path}/gaps")
+    gaps = spark.read.parquet(f"file://{tmp_path}/gaps").collect()
+    assert n == 2 == len(gaps) and lost == sum(g["end"] - g["start"] for g in gaps) and len(bad) in {g["end"] - g["start"] for g in gaps}
+    assert warc.log_gaps(read.where("kind = 'record'"), f"file://{tmp_path}/none") == (0, 0) and not (tmp_path / "none").exists()
+    read.unpersist()
+
+
+def test_members_are_inflated_one_by_one(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 7)
+    parts = [record(i, b"z" * 900) for i in range(4)]
+    assert [o[0] for o in warc.salvage(warc.gzip_members(parts) + b"tail")] == ["record"] * 4 + ["gap"]
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 500)
+    assert [o[4] for o in warc.salvage(warc.gzip_members(parts[:1]))] == ["gzip member too large"]
+
+
 # --- 2 ----------------------------------------------------------------------------------
 
 def test_mix_meets_targets(spark, corpus):
@@ -145,6 +170,37 @@ def test_mix_prefers_heavy_documents(spark):
     assert len(ones) > 0 and np.mean(ones) >= 0.5
 
 
+def test_slices_are_even_under_any_weights(spark, monkeypatch):
+    """A twentieth of the rows at a tenth of the weight: the last slices hold nothing but them."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 500)
+    n = 200_000
+    keyed = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise("hot").alias("source"),
+        F.when(F.col("id") % 20 == 0, 0.1).when(F.col("id") % 7 == 0, 0.37).otherwise(1.0).alias("w"), "id",
+    )
+    keyed = keyed.withColumn("key", -F.log(mixing.uniform(F.col("id"), F.lit(""))) / F.col("w"))
+    cut = mixing._sliced(mixing.materialize(keyed, "keyed"))
+    sizes = cut.groupBy("source", "slice").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    assert max(r["n"] for r in sizes) <= 2 * 500 and len(sizes) > n / 500 * 0.9 and sum(r["n"] for r in sizes) == n
+    hot = sorted((r["slice"], r["low"], r["high"]) for r in sizes if r["source"] == "hot")
+    assert all(a[2] <= b[1] for a, b in zip(hot, hot[1:]))
+
+
+def test_mixed_rows_keep_their_own_copies(spark):
+    rng = random.Random(4)
+    texts = [(i % 5 if i % 3 else None, f"{prose(rng, 10 + i)} row{i}") for i in range(30)] + [(None, None), (0, "")]
+    docs = docs_of(spark, texts, {0: "a", 1: "a", None: "b"}).withColumns({c: F.lit("x") for c in ("copies", "copy", "row", "doc", "slice")})
+    plan = mixing.mix(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in plan) == sorted((i is None, i or 0, len(words(t))) for i, t in texts)
+    by_size = {r["size"]: round(r["taken"] / r["size"]) for r in plan if r["size"]}
+    kept = mixing.mixed_documents(docs)
+    assert kept.columns == docs.columns
+    copies = {}
+    for r in kept.collect():
+        copies[r["text"]] = copies.get(r["text"], 0) + 1
+    assert all(abs(copies.get(t, 0) - by_size[len(words(t))]) == 0 for _, t in texts if t) and set(copies) <= {t for _, t in texts if t}
+
+
 # --- 3 and 6 ----------------------------------------------------------------------------
 
 def labelled(spark, texts, label, column):
@@ -311,12 +367,29 @@ def test_exact_duplicates(spark, corpus):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs_of(spark, corpus)).collect()) == sorted(min(g) for g in groups.values())
 
 
+def test_exact_duplicates_of_rows_without_an_id(spark):
+    texts = [(None, "a b"), (4, "a  b"), (9, "a\nb"), (None, "only"), (None, "only"), (4, "other"), (4, "a b"), (None, None), (7, "")]
+    rows = exact_dedup.exact_duplicates(docs_of(spark, texts)).collect()
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows), key=repr)
+    assert got == sorted(
+        [(None, 4, 4, False), (4, 4, 4, True), (9, 4, 4, False), (4, 4, 4, True), (None, None, 2, True), (None, None, 2, True), (4, 4, 1, True), (None, 7, 2, False), (7, 7, 2, True)], key=repr
+    )
+    docs = docs_of(spark, texts).withColumns({c: F.lit("x") for c in ("gone_id", "fp", "suspect")})
+    left = exact_dedup.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(4, "a  b"), (4, "a b"), (None, "only"), (None, "only"), (4, "other"), (7, "")], key=repr)
+
+
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(0)
     parts = [rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(3)]
     parts[1][:50] = parts[0][:50]
     f = exact_dedup.CountingQuotientFilter.merge([exact_dedup.CountingQuotientFilter.build(p, None, 6) for p in parts])
     g = exact_dedup.CountingQuotientFilter.from_row(**f.to_row())
+    assert len(exact_dedup.CountingQuotientFilter.build(parts[0], None, 8).to_row()["remainders"]) == 7 * 500
+    parts[2][:300] = parts[0][60]
+    f = exact_dedup.CountingQuotientFilter.merge([exact_dedup.CountingQuotientFilter.build(p, None, 6) for p in parts])
+    g = exact_dedup.CountingQuotientFilter.from_row(**f.to_row())
     values, counts = np.unique(np.concatenate(parts), return_counts=True)
     assert (g.fingerprints() == values).all() and (g.counts == counts).all()
     assert g.count(int(parts[0][0])) == 2 and g.count(12345) == 0
