@@ -2,9 +2,9 @@
 
 Each tree cuts the unit vectors by random directions at a random quantile near the middle,
 again and again until a leaf is small; a vector near a cut goes to both sides (spill). The
-upper cuts are fitted on a bounded sample, and every vector is routed through every tree;
-where so many cuts are not enough, each leaf is cut again on its own vectors, in a task of
-its own. Within a leaf all pairs are compared, block by block, in double precision.
+upper cuts are fitted on a bounded sample, those below are quantiles over all vectors of a
+node, and every vector is routed through every tree. Within a leaf all pairs are compared,
+block by block, in double precision.
 
 A pair may share leaves in several trees. It is counted in the first of them only, which
 both vectors know from the leaves they carry, so link counts are exact sums and no pair is
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import materialize, small, spread
 from quadrille.llm.graph import connected_components
 
-TREES = 8
+TREES = 6
 #: Vectors that a leaf holds on average.
-LEAF = 768
-#: Cuts from root to leaf that are fitted on the sample, at most; deeper trees cut each leaf again.
+LEAF = 2048
+#: Cuts from root to leaf that are fitted on the sample, at most; those below are fitted on all vectors.
 MOST_CUTS = 12
 #: Share of a node's vectors on either side of a cut that go both ways.
 SPILL = 0.03
@@ -41,7 +41,7 @@ SPILL = 0.03
 SAMPLE = 100_000
 THRESHOLD = 0.9
 #: Links in a leaf, as a share of LEAF, that make a vector the seed of a pivot.
-DENSE = 0.125
+DENSE = 0.0625
 #: Vectors of one leaf that pivots are sought among, at most; of more, every k-th.
 SEEDS = 4096
 #: Angle of a ball as a multiple of the threshold's angle. Links of a vector within (REACH - 1) of it are all inside.
@@ -57,73 +57,87 @@ BLOCK = 512
 
 
 class Tree:
-    """A complete binary tree of cuts: node i has a direction, a cut and a spill margin."""
+    """A complete binary tree of cuts. All nodes of a level share a random direction; each has its own
+    cut and spill margins, fitted on a sample down to `top` levels."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
+    def __init__(self, sample: np.ndarray, top: int, depth: int, seed: int):
         rng = np.random.default_rng(seed)
-        inner, dim = (1 << depth) - 1, sample.shape[1]
-        self.depth = depth
-        self.direction = rng.standard_normal((inner, dim))
-        self.direction /= np.linalg.norm(self.direction, axis=1, keepdims=True)
-        self.cut, self.low, self.high = np.zeros(inner), np.zeros(inner), np.zeros(inner)
-        held = {0: np.arange(len(sample))}
-        for i in range(inner):
-            own = held.pop(i)
-            x = sample[own] @ self.direction[i]
-            q = rng.uniform(0.45, 0.55)
-            if len(x):
-                self.low[i], self.cut[i], self.high[i] = np.quantile(x, [q - SPILL, q, q + SPILL])
-            held[2 * i + 1], held[2 * i + 2] = own[x <= self.high[i]], own[x > self.low[i]]
+        self.top, self.direction = top, rng.standard_normal((depth, sample.shape[1]))
+        self.quantiles = rng.uniform(0.45, 0.55, depth)
+        inner = (1 << top) - 1
+        self.low, self.high = np.zeros(inner), np.zeros(inner)
+        x, held = self.project(sample), {0: np.arange(len(sample))}
+        for level in range(top):
+            for i in range((1 << level) - 1, (2 << level) - 1):
+                own = held.pop(i)
+                if len(own):
+                    self.low[i], self.high[i] = np.quantile(x[own, level], self.at(level))
+                held[2 * i + 1], held[2 * i + 2] = own[x[own, level] <= self.high[i]], own[x[own, level] > self.low[i]]
+
+    def at(self, level: int) -> list[float]:
+        """Quantiles between which a node's vectors go both ways."""
+        return [float(self.quantiles[level] + s) for s in (-SPILL, SPILL)]
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.direction.T
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) pairs: every row has one leaf or more."""
+        """(row, leaf) pairs of projected vectors: every row has one leaf or more."""
         rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            v = np.einsum("ij,ij->i", x[rows], self.direction[node])
+        for level in range(self.top):
+            v = x[rows, level]
             left, right = v <= self.high[node], v > self.low[node]
             rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-        return rows, node - ((1 << self.depth) - 1)
+        return rows, node - ((1 << self.top) - 1)
 
 
-def _clean(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the usable vectors, their unit vectors): finite, no null component, not zero."""
-    at, out = [], []
-    for i, v in enumerate(vectors):
-        if v is None or not len(v) or any(c is None for c in v):
-            continue
-        x = np.array(v, np.float64)
-        if np.isfinite(x).all() and x.any():
-            x = x / np.abs(x).max()
-            at.append(i)
-            out.append(x / np.linalg.norm(x))
-    return np.array(at, np.int64), out
-
-
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of the usable vectors as bytes; null for the others."""
     for b in batches:
-        at, x = _clean(b.column(1).to_pylist())
-        unit = [None] * b.num_rows
-        for i, v in zip(at.tolist(), x):
-            unit[i] = v.tobytes()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if v is None else len(v) // 8 for v in unit], pa.int32()), pa.array(unit, pa.binary())], ["vec_id", "dim", "unit"])
-
-
-def _stack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
-
+        lists = b.column(1)
+        flat, offsets = lists.values, lists.offsets.to_numpy()
+        values = flat.to_numpy(zero_copy_only=False)
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])  # a null component reads as NaN
+        some = np.concatenate([[0], np.cumsum(np.nan_to_num(values) != 0)])
+        lo, hi = offsets[:-1], offsets[1:]
+        good = np.array(lists.is_valid()) & (bad[hi] == bad[lo]) & (some[hi] > some[lo])
+        raw = values.tobytes()
+        w = values.itemsize
+        held = [raw[i * w : j * w] if ok else None for i, j, ok in zip(lo.tolist(), hi.tolist(), good.tolist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array((hi - lo).astype(np.int32), mask=~good), pa.array(held, pa.binary())], ["vec_id", "dim", "unit"])
+
+
+def _stack(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors in double precision, of components held in single or double precision."""
+    held = column.to_pylist()
+    x = np.frombuffer(b"".join(held), np.float32 if held and len(held[0]) == 4 * dim else np.float64).reshape(len(held), dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _router(shared, dim: int, with_rest: bool = False):
+    """Adds the leaves of each vector as leaf numbers (tree << top) + leaf; with_rest gives a row for
+    each leaf instead, with the projections that the levels below `top` cut."""
 
-def _router(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 b = whole.slice(lo, 4096)
-                x = _stack(b.column(2))
-                all_rows, all_leaves = [], []
+                x = _stack(b.column("unit"), dim)
+                all_rows, all_leaves, rest = [], [], []
                 for t, tree in enumerate(shared.value):
-                    rows, leaf = tree.leaves(x)
+                    v = tree.project(x)
+                    rows, leaf = tree.leaves(v)
                     all_rows.append(rows)
-                    all_leaves.append((t << 20) + leaf)
+                    all_leaves.append((t << tree.top) + leaf)
+                    if with_rest:
+                        rest.append(v[rows, tree.top :])
                 rows, leaves = np.concatenate(all_rows), np.concatenate(all_leaves)
+                if with_rest:
+                    left = np.concatenate(rest)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * left.shape[1], pa.int32()), pa.array(left.ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(rows)), pa.array(leaves), lists], ["rep", "leaf", "rest"])
+                    continue
                 order = np.lexsort((leaves, rows))
                 rows, leaves = rows[order], leaves[order]
                 offsets = np.searchsorted(rows, np.arange(len(x) + 1)).astype(np.int32)
@@ -132,14 +146,22 @@ def _router(shared):
     return run
 
 
-def _cut_again(depth: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).sort_by("rep")
-        leaf, x = key[0].as_py(), _stack(rows.column("unit").combine_chunks())
-        at, sub = Tree(x[:: -(-len(x) // SAMPLE)], depth, leaf + 1).leaves(x)
-        yield pa.RecordBatch.from_arrays([pa.array(rows.column("rep").to_numpy()[at]), pa.array((leaf << 24) + sub)], ["rep", "leaf"])
-
-    return run
+def _deeper(vectors: DataFrame, grown: list[Tree], forest, dim: int, depth: int) -> DataFrame:
+    """(rep, leaves) by all levels of the trees: below `top` a level's cuts are quantiles over all
+    vectors of each node, found by an aggregate that holds a few thousand values of a node at most."""
+    top = grown[0].top
+    placed = materialize(vectors.select("rep", "unit").mapInArrow(_router(forest, dim, True), "rep long, leaf long, rest array<double>"), "placed")
+    for level in range(depth - top):
+        value = F.element_at("rest", level + 1)
+        # A node's summary is asked for the quantiles of all trees, and those of its own are taken.
+        wanted = [q for t in grown for q in t.at(top + level)]
+        own = 2 * F.shiftright("leaf", top + level).cast("int")
+        cuts = placed.groupBy("leaf").agg(F.percentile_approx(value, wanted, 2000).alias("cuts"))
+        cuts = materialize(cuts.select("leaf", F.element_at("cuts", own + 1).alias("low"), F.element_at("cuts", own + 2).alias("high")), "cuts")
+        sides = F.filter(F.array(F.when(value <= F.col("high"), 0), F.when(value > F.col("low"), 1)), lambda x: x.isNotNull())
+        placed = placed.join(small(cuts, 24), "leaf").select("rep", F.explode(sides).alias("side"), "leaf", "rest")
+        placed = materialize(placed.select("rep", (2 * F.col("leaf") + F.col("side")).alias("leaf"), "rest"), "placed")
+    return placed.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
 
 
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -224,14 +246,15 @@ def _joins(p: np.ndarray, q: np.ndarray, find, root: np.ndarray):
 _LINKS = "rep long, links long, other long"
 
 
-def _leaf_links(threshold: float):
+def _leaf_links(threshold: float, dim: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).sort_by("rep")
         ids, size, dense = (rows.column(c).to_numpy() for c in ("rep", "size", "dense"))
         if dense.all():
             return
-        leaves = [np.array(x, np.int64) for x in rows.column("leaves").to_pylist()]
-        yield _compare(_stack(rows.column("unit").combine_chunks()), ids, size, dense, leaves, key[0].as_py(), threshold).batch()
+        lists = rows.column("leaves").combine_chunks()
+        leaves = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])
+        yield _compare(_stack(rows.column("unit"), dim), ids, size, dense, leaves, key[0].as_py(), threshold).batch()
 
     return run
 
@@ -244,12 +267,12 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1, 1))
 
 
-def _seeds(threshold: float, least: float):
+def _seeds(threshold: float, least: float, dim: int):
     """The mean directions of the dense groups in a leaf, with their numbers of vectors."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).sort_by("rep")
-        x = _stack(rows.column("unit").combine_chunks())
+        x = _stack(rows.column("unit"), dim)
         step = -(-len(x) // SEEDS)
         x = x[::step]
         near = np.empty((len(x), len(x)), bool)
@@ -281,23 +304,24 @@ def _merged(pivots: np.ndarray, held: np.ndarray, angle: float) -> np.ndarray:
     return np.array(out)
 
 
-def _pivots(vectors: DataFrame, tree, threshold: float, theta: float) -> np.ndarray:
-    found = vectors.mapInArrow(_router(tree), "rep long, size long, unit binary, leaves array<long>").select("rep", "unit", F.explode("leaves").alias("leaf"))
-    found = found.groupBy("leaf").applyInArrow(_seeds(threshold, DENSE * LEAF), "leaf long, unit binary, held long").toArrow()
+def _pivots(vectors: DataFrame, tree, threshold: float, theta: float, dim: int) -> np.ndarray:
+    """The pivots of dense groups, at most one for DENSE * LEAF vectors."""
+    found = vectors.mapInArrow(_router(tree, dim), "rep long, size long, unit binary, leaves array<long>").select("rep", "unit", F.explode("leaves").alias("leaf"))
+    found = found.groupBy("leaf").applyInArrow(_seeds(threshold, DENSE * LEAF, dim), "leaf long, unit binary, held long").toArrow()
     if not found.num_rows:
         return np.zeros((0, 0))
     found = found.sort_by([("held", "descending"), ("leaf", "ascending"), ("unit", "ascending")])
-    return _merged(_stack(found.column("unit").combine_chunks()), found.column("held").to_numpy(), theta / 2)
+    return _merged(_stack(found.column("unit"), dim), found.column("held").to_numpy(), theta / 2)
 
 
-def _ringed(shared, reach: float, step: float):
+def _ringed(shared, reach: float, step: float, dim: int):
     """Adds the ball of each vector, -1 outside all, and its ring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
-                s = _stack(b.column(2)) @ shared.value.T
+                s = _stack(b.column(2), dim) @ shared.value.T
                 ball = s.argmax(axis=1)
                 angle = _angle(s[np.arange(len(s)), ball])
                 ball = np.where(angle <= reach, ball, -1).astype(np.int32)
@@ -364,13 +388,13 @@ def _surely(x, y, gap: float, theta: float, step: float):
     return (x + y + 2) * step + gap <= theta - SLACK
 
 
-def _ring_links(threshold: float, theta: float, step: float):
+def _ring_links(threshold: float, theta: float, step: float, dim: int):
     """Links between two blocks of ring members, without those counted in bulk."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).sort_by([("second", "ascending"), ("rep", "ascending")])
         ids, size, ring, second = (rows.column(c).to_numpy() for c in ("rep", "size", "ring", "second"))
-        unit, gap = _stack(rows.column("unit").combine_chunks()), rows.column("gap")[0].as_py()
+        unit, gap = _stack(rows.column("unit"), dim), rows.column("gap")[0].as_py()
         n, split, tally = len(ids), int((~second).sum()), _Tally(ids, size)
         alone = rows.column("alone")[0].as_py()
         for lo in range(0, n if alone else split, BLOCK):
@@ -403,7 +427,7 @@ def _ball_links(members: DataFrame, pivots: np.ndarray, threshold: float, theta:
         sides = spark.createDataFrame(sides, "task long, block long, gap double, second boolean, alone boolean")
         at = F.col("first") + F.pmod(F.xxhash64("rep"), F.greatest("blocks", F.lit(1)))
         each = placed.where("blocks > 0").select("rep", "size", "unit", "ring", at.alias("block")).join(small(sides, 48), "block")
-        out = out.unionByName(each.groupBy("task").applyInArrow(_ring_links(threshold, theta, step), _LINKS))
+        out = out.unionByName(each.groupBy("task").applyInArrow(_ring_links(threshold, theta, step, pivots.shape[1]), _LINKS))
     return out
 
 
@@ -412,13 +436,15 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees
 
     Vectors link at a cosine of the threshold or more, in double precision. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, and so do
-    vectors of different lengths with each other. Vectors of one direction, bit by bit, are
-    one class, compared once and counted as many. trees are grown, or as many as cuts from root
+    vectors of different lengths with each other. Vectors equal bit by bit are one class,
+    compared once and counted as many. trees are grown, or as many as cuts from root
     to leaf if that is more. Ids are taken to be unique; other columns are
     ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    unit = materialize(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_unit, "vec_id long, dim int, unit binary"), "unit")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    held = F.col(vector_col).cast("array<float>" if single else "array<double>")
+    unit = materialize(vectors.select(F.col(id_col).alias("vec_id"), held.alias("v")).mapInArrow(_usable, "vec_id long, dim int, unit binary"), "unit")
     usable = unit.where("unit is not null")
     classes = materialize(usable.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("dim").alias("dim")), "classes")
     edges = counts = None
@@ -430,23 +456,22 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees
         top = min(depth, MOST_CUTS)
         drawn = min(SAMPLE, 128 << top)
         sample = own.where(F.pmod(F.xxhash64("unit"), F.lit(n)) < drawn).select("unit").toArrow()
-        points = _stack(sample.column("unit").combine_chunks()) if sample.num_rows else np.zeros((0, dim))
-        grown = [Tree(points, top, 7919 * t + 1) for t in range(max(trees, depth))]
+        points = _stack(sample.column("unit"), dim)
+        grown = [Tree(points, top, depth, 7919 * t + 1) for t in range(max(trees, depth))]
         forest = spark.sparkContext.broadcast(grown)
         vectors_ = own.select("rep", "size", "unit").repartition(spread(n, 4096))
-        pivots = _pivots(vectors_, spark.sparkContext.broadcast(grown[:1]), threshold, theta) if depth else []
+        pivots = _pivots(vectors_, spark.sparkContext.broadcast(grown[:1]), threshold, theta, dim) if depth else []
         if len(pivots):
-            vectors_ = materialize(vectors_.mapInArrow(_ringed(spark.sparkContext.broadcast(pivots), REACH * theta, step), "rep long, size long, unit binary, ball int, ring int"), "ringed")
+            vectors_ = materialize(vectors_.mapInArrow(_ringed(spark.sparkContext.broadcast(pivots), REACH * theta, step, dim), "rep long, size long, unit binary, ball int, ring int"), "ringed")
             balls = _ball_links(vectors_.where("ball >= 0"), pivots, threshold, theta, step, max(BLOCK, BLOCK_CELLS // dim))
             balls = materialize(balls, "balls")
             counts = balls if counts is None else counts.unionByName(balls)
-        dense = F.col("ball") >= 0 if len(pivots) else F.lit(False)
-        routed = vectors_.select("rep", "size", "unit", dense.alias("dense")).mapInArrow(_router(forest), "rep long, size long, unit binary, dense boolean, leaves array<long>")
+        routed = vectors_.select("rep", "size", "unit", (F.col("ball") >= 0 if len(pivots) else F.lit(False)).alias("dense"))
         if depth > top:
-            finer = routed.select("rep", "unit", F.explode("leaves").alias("leaf")).groupBy("leaf").applyInArrow(_cut_again(depth - top), "rep long, leaf long")
-            finer = finer.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-            routed = materialize(routed.drop("leaves").join(finer, "rep"), "routed")
-        found = routed.withColumn("leaf", F.explode("leaves")).groupBy("leaf").applyInArrow(_leaf_links(threshold), _LINKS)
+            routed = materialize(routed.join(_deeper(vectors_, grown, forest, dim, depth), "rep"), "routed")
+        else:
+            routed = routed.mapInArrow(_router(forest, dim), "rep long, size long, unit binary, dense boolean, leaves array<long>")
+        found = routed.withColumn("leaf", F.explode("leaves")).groupBy("leaf").applyInArrow(_leaf_links(threshold, dim), _LINKS)
         found = materialize(found, "found")
         counts = found if counts is None else counts.unionByName(found)
     if counts is None:

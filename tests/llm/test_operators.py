@@ -449,6 +449,24 @@ def test_groups_larger_than_a_leaf_are_whole(spark, monkeypatch, wide):
     assert {got[i - 50]["component_id"] for i in range(group)} == {-50}
 
 
+@pytest.mark.parametrize("group,others,dim,noise", [(6_000, 2_000, 32, 0.02), (24_000, 4_000, 64, 0.14)])
+def test_large_near_groups_are_whole(spark, group, others, dim, noise):
+    """Groups of distinct near vectors, several leaves large, beside triples, at production parameters."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(group + others, dim)).astype(np.float32)
+    x[:group] = (rng.normal(size=dim) + noise * rng.normal(size=(group, dim))).astype(np.float32)
+    x[group + 1 :: 2] = x[group::2] + np.float32(0.2) * rng.normal(size=(others // 2, dim)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    rows = embeddings.embedding_duplicates(df).toArrow().sort_by("vec_id")
+    links, unit = rows.column("n_links").to_numpy(), x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    true = np.concatenate([(unit[lo : lo + 2000] @ unit.T >= 0.9).sum(axis=1) - 1 for lo in range(0, len(x), 2000)])
+    assert (links[:group] == true[:group]).all() and (links <= true).all()
+    assert links[group:].sum() >= 0.99 * true[group:].sum() > 0
+    assert set(rows.column("component_id").to_numpy()[:group]) == {0}
+
+
 def test_balls_count_each_pair_once(spark):
     """Several overlapping balls: bulk counts, compared blocks and components against all pairs."""
     rng = np.random.default_rng(6)
