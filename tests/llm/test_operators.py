@@ -346,12 +346,123 @@ def test_disclosing_terms_become_spans(spark):
     assert "Zebulon" not in clean[0] and "zeb@" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == dict(texts)[100]
 
 
-def test_a_rare_entity_is_disclosed_by_one_line(spark):
-    texts = [(i, "\n".join("ask us via the desk" for _ in range(30))) for i in range(50)] + [(90, "ask Quillon via quil@y.org the desk")]
+def test_a_rare_entity_is_disclosed_by_one_context(spark):
+    # three lines are a context, so this corpus has 1,501 of them
+    texts = [(i, "\n".join("ask us via the desk" for _ in range(90))) for i in range(50)] + [(90, "ask Quillon via quil@y.org the desk")]
     rows = {r["doc_id"]: r["spans"] for r in pii.report(pii.find_personal_data(docs_of(spark, texts))).collect()}
     assert [s for s in rows[90].split(",") if s.startswith("term")] == ["term:4:11"] and not rows[0]
 
 
+def more_spans(text):
+    """Spans of all kinds: (start, end, kind, value)."""
+    out = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_spans(text))]
+    out += [(m.start(), m.end(), "secret") for m in re.finditer(r"[A-Za-z0-9]{20,}", text or "") if min(len(re.findall(p, m.group())) for p in ("[0-9]", "[A-Za-z]")) >= 4]
+    cards = {(a, b) for a, b, k in out if k == "card"}
+    numbers = [m for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text or "") if 12 <= len(re.sub("[^0-9]", "", m.group())) <= 19]
+    out += [(m.start(), m.end(), "account") for m in numbers if m.span() not in cards]
+    return [(a, b, k, text[a:b]) for a, b, k in out]
+
+
+def term_spans(texts):
+    """The method by loops: contexts of three lines, PMI of each term with each entity and class."""
+    import math
+
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+){3}", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]", r"[A-Za-z0-9]{20,}"]
+    held, total, with_term = [], 0, {}
+    for d, t in texts:
+        lines, at = (t or "").split("\n"), 0
+        for k in range(0, len(lines), 3):
+            c = "\n".join(lines[k : k + 3]) + "\n"
+            total += 1
+            for w in {w.lower() for w in re.findall(r"[^\W_]+", c)}:
+                with_term[w] = with_term.get(w, 0) + 1
+            if hits := more_spans(c):
+                keys = set()
+                for _, _, kind, v in hits:
+                    keys |= {("one", v.lower()), ("kind", kind)}
+                    keys |= {("domain", v.lower().rpartition("@")[2])} if kind == "email" else {("net", v[: v.index(".", v.index(".") + 1)])} if kind == "ip" else {("prefix", re.sub("[^0-9]", "", v)[:4])} if kind == "phone" else set()
+                masked = c
+                for p in patterns:
+                    masked = re.sub(p, " ", masked)
+                held.append((d, at, c, hits, keys, {w.lower() for w in re.findall(r"[^\W_]+", masked)}))
+            at += len(c)
+    alone, together, forms = {}, {}, {}
+    for _, _, c, _, keys, words_ in held:
+        for e in keys:
+            alone[e] = alone.get(e, 0) + 1
+            for w in words_:
+                together[e, w] = together.get((e, w), 0) + 1
+                forms.setdefault((e, w), set()).add(c)
+    out = {}
+    for d, at, c, hits, keys, words_ in held:
+        for m in re.finditer(r"[^\W_]+", c):
+            w = m.group().lower()
+            if w not in words_ or any(a < m.end() and m.start() < b for a, b, _, _ in hits):
+                continue
+            for e in keys:
+                ic, n = math.log2(total / alone[e]), len(forms[e, w])
+                if ic > 0 and math.log2(together[e, w] * total / (alone[e] * with_term[w])) + math.log2(n / (n + 1)) >= 0.9 * ic - 1e-9:
+                    out.setdefault(d, set()).add((at + m.start(), at + m.end()))
+    return out
+
+
+def secret_corpus():
+    rng = random.Random(17)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 4)) + "a1b2"
+    plant = [
+        lambda i: f'token = "{hexes(40)}"', lambda i: f"mail bo.{i}@mail{i % 3}.example.com now", lambda i: f"dial +1 ({100 + i}) 555-{1000 + i}", lambda i: f"from 10.{i}.3.4 on",
+        lambda i: f"number {4000000000000000 + i * 12347}", lambda i: f"Zoltan {i} wrote bo@mail1.example.com",
+    ]
+    texts = []
+    for i in range(900):
+        lines = [prose(rng, rng.choice([3, 8])) for _ in range(rng.choice([1, 4, 7]))]
+        if i % 10 == 0:
+            lines[rng.randrange(len(lines))] += " " + plant[i // 10 % len(plant)](i) + " " + rng.choice(WORDS)
+        texts.append((i, "\n".join(lines)))
+    return texts + [(2000 + i, texts[50 * i][1]) for i in range(10)] + [(3000, None), (3001, ""), (3002, "\n\n\n"), (3000, "x\ny")]
+
+
+def test_terms_match_loops_over_all_contexts(spark):
+    texts = secret_corpus()
+    rows = pii.report(pii.find_personal_data(docs_of(spark, texts))).collect()
+    assert len(rows) == len(texts)
+    want = term_spans(texts)
+    assert sum(map(len, want.values())) > 100
+    for r in rows:
+        own = [x.split(":") for x in r["spans"].split(",") if x]
+        if r["doc_id"] != 3000:
+            assert {(int(a), int(b)) for k, a, b in own if k == "term"} == want.get(r["doc_id"], set())
+            assert sorted((int(a), int(b), k) for k, a, b in own if k != "term") == sorted(x[:3] for x in more_spans(dict(texts)[r["doc_id"]]))
+    told = {dict(texts)[r["doc_id"]][int(a) : int(b)] for r in rows for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"}
+    assert "token" in told and "Zoltan" in told  # a class is disclosed, and single entities
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs_of(spark, texts).withColumns({c: F.lit("x") for c in ("cuts", "new", "row", "doc", "after")})).collect()}
+    assert "[SECRET]" in clean[0] and "token" not in clean[0] and "[SECRET-RELATED]" in clean[0] and clean[3001] == "" and clean[1] == dict(texts)[1]
+
+
+def test_planted_secrets_of_the_documents_are_caught(spark):
+    from quadrille.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = pii.report(pii.find_personal_data(docs)).collect()
+    planted = re.compile(r"token = \"[0-9a-f]{40}\"|[a-z.]+[0-9]+@mail[0-9]+\.example\.com|\+1 \([0-9]{3}\) 555-[0-9]{4}|\b[0-9]{16}\b|\b[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\b")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    asked = {i for i, t in texts.items() if planted.search(t or "")}
+    caught = {r["doc_id"] for r in rows if r["spans"]}
+    assert len(asked) > 40 and len(asked & caught) >= 0.98 * len(asked) and len(caught - asked) <= 0.005 * len(texts)
+    assert sum(r["n_term"] for r in rows) > 50
+
+
+def test_long_runs_and_many_spans_take_linear_time(spark):
+    import time
+
+    logs = "\n".join(f"10.0.{i % 250}.{i // 250 % 250} get /a{i}" for i in range(20_000))
+    texts = [(1, "x" * 1_000_000 + " @"), (2, "9" * 500_000 + "a"), (3, "a@b" * 100_000), (4, logs), (5, "(" * 300_000 + "+1" + "(" * 300_000)]
+    began = time.time()
+    rows = {r["doc_id"]: r for r in pii.report(pii.find_personal_data(docs_of(spark, texts, extra=False))).collect()}
+    assert rows[4]["n_ip"] == 20_000 and rows[4]["base_sha256"] == hashlib.sha256(",".join(base_spans(logs)).encode()).hexdigest()
+    assert not any(rows[i]["n_email"] + rows[i]["n_phone"] for i in (1, 2, 3, 5)) and time.time() - began < 120
+
+
 # --- 7 ----------------------------------------------------------------------------------
 
 def test_exact_duplicates(spark, corpus):
