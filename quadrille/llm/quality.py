@@ -135,7 +135,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     """
     stats = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_statistics_of, "doc_id long, x array<double>"), "statistics")
     sample = F.broadcast(train_ids(labels, "quality", train_rows))
-    rows = stats.join(sample, "doc_id").select("x", "y").limit(2 * train_rows).toArrow()
+    rows = stats.join(sample, "doc_id").select("x", "y").orderBy(F.xxhash64("x", "y"), "x", "y").limit(2 * train_rows).toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(rows.num_rows, len(_NAMES))
     model = fit(x, rows.column("y").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -257,6 +257,54 @@ def test_clauses_are_scored_in_context():
     assert one("you kill") > one("kill") > 0 and one("plain words") == 0
 
 
+def test_context_counts_on_both_sides():
+    s = toxicity.Lexicon({}, {}).symbols()
+    one = lambda text: sum(toxicity.clause_scores(text, s))
+    assert one("i will kill you") == one("you kill") > one("i will kill") and one("idiot you are") == one("you are an idiot") > one("idiot")
+    assert one("moron, he said") == one("he said moron") < one("moron")
+    assert one("not nice you idiot") == one("nice you idiot") and one("not such a big idiot") < one("idiot") == one("not one two three four idiot")
+    assert one("they said he is a moron") > one("they said moron") > one("they said not a moron")
+    assert one(" ".join(["word"] * 500) + " idiot " + " ".join(["word"] * 500) + " you") == one("you idiot")
+
+
+def test_composition_keeps_one_path():
+    """Of every clause of up to four symbols one path survives, and its marks are those of a plain reading."""
+    import itertools
+
+    machine = toxicity.Machine(toxicity.marking())
+    for n in range(1, 5):
+        for clause in itertools.product(range(6), repeat=n):
+            live = [(s, ()) for s in machine.starts]
+            for x in clause:
+                live = [(t, (*out, y)) for s, out in live for y, _, t in machine.step[s][x]]
+            ends = [out for s, out in live if s in machine.finals]
+            said = [toxicity.OTHER if x == toxicity.TARGET and clause[i + 1 : i + 2] == (toxicity.REPORT,) else x for i, x in enumerate(clause)]
+            want, reach = [], 0
+            for x in said:
+                marks = 2 * (toxicity.TARGET in said) + 4 * (toxicity.REPORT in said) + (reach > 0)
+                want.append(x + 8 * marks if x in (toxicity.INSULT, toxicity.THREAT) else x)
+                reach = toxicity.NEGATION_REACH + 1 if x == toxicity.NEGATION else max(0, reach - 1) if x == toxicity.OTHER else reach if x == toxicity.REPORT else 0
+            assert ends == [tuple(want)] and machine.marks([(x, 1.0) for x in clause]) == want
+
+
+def test_factors_are_learnt(spark):
+    """Reported insults are as toxic as others here, negated ones never."""
+    rows = [(1.0, "an idiot")] * 300 + [(1.0, "it says an idiot")] * 300 + [(0.0, "not an idiot")] * 300
+    learnt = toxicity.learn_factors(spark.createDataFrame(rows, "y double, text string"), toxicity.Lexicon({}, {}))
+    assert learnt["reported"] > 0.8 > 0.2 > learnt["negated"] and learnt["vague threat"] == toxicity.FACTORS["vague threat"]
+
+
+def test_toxic_rows_go_one_by_one(spark):
+    rng = random.Random(6)
+    bad = [(i, f"{prose(rng, 20)}. you are a stupid idiot. {prose(rng, 9)}") for i in range(80)]
+    texts = bad + [(100 + i, prose(rng, 30)) for i in range(80)] + [(None, bad[0][1]), (None, "fine words"), (3, "fine words"), (4, None)]
+    docs = docs_of(spark, texts).withColumn("score", F.lit(1.5))
+    labels = labelled(spark, [t for t in texts if t[0] is not None], lambda i: int(i < 80), "toxic")
+    left = toxicity.drop_toxic(docs, labels)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(texts[80:160] + [(None, "fine words"), (3, "fine words"), (4, None)], key=repr)
+
+
 # --- 4 ----------------------------------------------------------------------------------
 
 def test_packing(spark, corpus):
