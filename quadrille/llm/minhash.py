@@ -9,9 +9,13 @@ only a star from its members to one centre. Every candidate edge is verified on
 A star can miss a link between two members that are both unlike the centre. So buckets whose
 members lie in more than one component are starred again from another centre, and the
 documents that are still in such buckets are joined exactly, across components, by prefix
-filter: two sets that are as similar as asked share one of their rarest shingles, and their
-bitmaps differ in no more bits than the sets may differ in shingles. Both are tested in the
-join, without loss. No bucket or candidate is capped.
+filter: of two sets that are as similar as asked, the larger's longer prefix of rarest
+shingles meets the smaller's shorter one, no later than the positions leave room for; and
+their bitmaps differ in no more bits than the sets may differ in shingles. All of it is tested
+in the join, without loss. No bucket or candidate is capped.
+
+To verify edges, members travel to their centre and not the centre to each member; a centre
+with many members stands once for each share of them.
 """
 
 from __future__ import annotations
@@ -32,9 +36,8 @@ BAND_ROWS = 7
 BANDS = 36
 #: Star rounds before what is left is joined by prefix filter.
 STAR_ROUNDS = 2
-#: About so many sets, drawn by a hash of the id, on which shingles are ranked by how common they
-#: are. Any order is right; this one keeps common shingles out of the prefixes.
-RANK_SETS = 2000
+#: Shingles of the members that travel to one copy of their centre, on average.
+SHARE = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -101,7 +104,7 @@ def _sketcher(bands: int, rows: int):
         draws = _draws(bands * rows)
         for batch in batches:
             n, low, high, keys, offsets = [], [], [], [], [0]
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py())
                 n.append(len(s))
                 if len(s):
@@ -117,164 +120,198 @@ def _sketcher(bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.array(np.array(low, np.uint64).view(np.int64)),
                     pa.array(np.array(high, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
                 ],
-                ["doc_id", "n_shingles", "low", "high", "bands"],
+                ["doc_id", "sha", "n_shingles", "low", "high", "bands"],
             )
 
     return run
 
 
+#: Longs of a set's bitmap: the parity of the shingles that fall on each bit.
+BITMAP = 16
+_BITS = [f"bits{i}" for i in range(BITMAP)]
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    parity = np.bincount(s.view(np.int64) & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             sets = [shingle_set(x.as_py()) for x in part.column(1)]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "shingles"]
-            )
-
-
-def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate edges (a, b), those with 100 * intersection >= percent * union on the full sets."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        edges.join(one, "a")
-        .join(other, "b")
-        .where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-        .where(100 * both >= percent * (na + nb - both))
-        .select("a", "b")
-    )
-
-
-#: Longs of a set's bitmap: the parity of the shingles that fall on each bit.
-BITMAP = 16
+            grid = np.stack([_bitmap(x) for x in sets])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), lists, *(pa.array(grid[:, i]) for i in range(BITMAP))], ["cls", "n", "shingles", *_BITS])
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    parity = np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+def _may_link(percent: int, a: str, b: str):
+    """What two sets that link surely meet, by their sizes and bitmaps (columns ending in a and b)."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    apart = sum((F.bit_count(F.col(f"{x}{a}").bitwiseXOR(F.col(f"{x}{b}"))) for x in _BITS[1:]), F.bit_count(F.col(f"{_BITS[0]}{a}").bitwiseXOR(F.col(f"{_BITS[0]}{b}"))))
+    # 100 * intersection >= percent * union allows so many shingles that only one of both has.
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
-def _prefixes(order: np.ndarray, percent: int):
-    """Of each set the shingles of its prefix: rarest first, the common ones in `order` last."""
-    common = np.sort(order)
-    rank = np.argsort(order)
+def _confirmer(percent: int):
+    """Rows come sorted by centre and share, a centre before its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre = None, np.zeros(0, np.int64)
         for batch in batches:
-            tokens, n, bits = [], [], []
-            for s in batch.column(2):
-                s = s.values.to_numpy(zero_copy_only=False)
-                at = np.searchsorted(common, s)
-                known = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
-                place = np.zeros(len(s), np.int64)
-                place[known] = 1 + rank[at[known]]
-                tokens.append(s[np.lexsort((s, place))][: len(s) + percent * len(s) // -100 + 1])
-                n.append(len(s))
-                bits.append(_bitmap(s))
-            offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
-            grid = np.stack(bits)
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), lists, *(pa.array(grid[:, i]) for i in range(BITMAP))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "component", "n", "tokens", *(f"bits{i}" for i in range(BITMAP))])
+            a, b, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found = []
+            for i, (c, m) in enumerate(zip(a, b)):
+                own = flat[offsets[i] : offsets[i + 1]]
+                if c == m:
+                    at, centre = c, own.copy()
+                    continue
+                assert c == at
+                both = len(np.intersect1d(centre, own, assume_unique=True))
+                if 100 * both >= percent * (len(centre) + len(own) - both):
+                    found.append((c, m))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among the documents of open_ that may be similar enough."""
-    held = materialize(open_.select("doc_id", "component").distinct().join(sets, "doc_id").select("doc_id", "component", "shingles"), "held")
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, held.count()))) < RANK_SETS
-    ranked = held.where(drawn).select("shingles").toArrow().column(0)
-    tokens, counts = np.unique(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in ranked.chunks] or [np.zeros(0, np.int64)]), return_counts=True)
-    often = counts > 2
-    order = tokens[often][np.argsort(counts[often], kind="stable")]
-    bits = [f"bits{i}" for i in range(BITMAP)]
-    prefixes = held.mapInArrow(_prefixes(order, percent), "doc_id long, component long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in bits))
-    each = materialize(prefixes.select("doc_id", "component", "n", *bits, F.explode("tokens").alias("token")), "prefixes")
-    left = each.select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *bits)
-    right = each.select(F.col("token").alias("other"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(x).alias(f"{x}_") for x in bits))
-    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_"))) for x in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"{bits[0]}_"))))
-    # 100 * intersection >= percent * union allows so many shingles that only one of both has.
-    alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
-    joined = left.join(right, (F.col("token") == F.col("other")) & (F.col("ca") < F.col("cb")) & alike)
-    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
+def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate edges (centre, member), those with 100 * intersection >= percent * union on the
+    full sets, as (a, b). What sizes and bitmaps rule out does not travel."""
+    size = 16 + 8 * BITMAP
+    of = lambda end: small(sets.select(F.col("cls").alias(end), F.col("n").alias(f"n_{end}"), *(F.col(x).alias(f"{x}_{end}") for x in _BITS)), size)
+    likely = edges.join(of("centre"), "centre").join(of("member"), "member").where(_may_link(percent, "_centre", "_member"))
+    likely = materialize(likely.select("centre", "member", F.col("n_member").alias("n")), "likely")
+    shares = materialize(likely.groupBy("centre").agg(F.ceil(F.sum("n") / F.lit(SHARE)).alias("shares")), "shares")
+    share = F.pmod(F.xxhash64("member"), F.col("shares"))
+    set_of = sets.select(F.col("cls").alias("member"), "shingles")
+    members = small(likely.join(small(shares, 16), "centre").select("centre", "member", share.alias("share")), 24).join(set_of, "member")
+    centres = small(shares.select("centre", F.col("centre").alias("member"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")), 24).join(set_of, "member")
+    columns = ["centre", "member", "shingles", "share"]
+    rows = members.select(columns).unionByName(centres.select(columns)).repartition("centre", "share")
+    rows = rows.sortWithinPartitions("centre", "share", F.col("centre") != F.col("member"))
+    return rows.select("centre", "member", "shingles").mapInArrow(_confirmer(percent), "a long, b long")
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
 
-    Words are runs of non-white-space (ASCII), A-Z lower-cased; a set holds the distinct
-    five-word shingles, or the whole sequence of a shorter text. Texts that are null or
-    without words have an empty set and link with nothing. Documents link when
-    100 * intersection >= percent * union; component_id is the least id reachable. Rows that
-    share an id count as one document for links. An empty table gives no rows.
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (centre, member) of different components among the sets of open_ that may be similar enough.
+
+    Shingles are ranked from rare to common by their counts over all these sets. Of two linked
+    sets of sizes m <= n the intersection is at least w = percent / (100 + percent) * (m + n).
+    So a common shingle is among the first m - 2 * percent / (100 + percent) * m + 1 of the
+    smaller and the first n - percent / 100 * n + 1 of the larger, and neither has fewer than w
+    shingles from the first common one on. What all of a family share stands late in its sets, so the
+    smaller's short prefix holds it only where it leaves too little to tell them apart.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = materialize(own.mapInArrow(_sketcher(bands, rows), "doc_id long, n_shingles long, low long, high long, bands array<long>"), "sketches")
-    # Equal sets are one class from here on; its least id stands for it.
-    classes = materialize(
-        sketches.where("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes"
-    )
-    single = classes.select(F.col("rep").alias("doc_id"))
-    exploded = sketches.where("n_shingles > 0").join(single, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    held = materialize(open_.select("cls", "component").distinct().join(sets, "cls"), "held")
+    each = materialize(held.select("cls", F.explode("shingles").alias("token")), "tokens")
+    often = materialize(each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    ranked = each.join(small(often, 16), "token", "left").select("cls", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "token").alias("x"))
+    ranked = ranked.groupBy("cls").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    n = F.size("xs").cast("long")
+    long_, short = n - F.ceil(n * percent / 100) + 1, n - F.ceil(2 * n * percent / (100 + percent)) + 1
+    prefixes = ranked.select("cls", short.alias("short"), F.posexplode(F.slice("xs", F.lit(1), long_.cast("int"))).alias("at", "x")).select("cls", "short", "at", "x.token")
+    each = materialize(prefixes.join(small(held.drop("shingles"), 24 + 8 * BITMAP), "cls"), "prefixes")
+    columns = ["cls", "component", "n", "at", *_BITS]
+    less = each.where("at < short").select("token", *(F.col(c).alias(f"{c}_s") for c in columns))
+    more = each.select(F.col("token").alias("other"), *(F.col(c).alias(f"{c}_l") for c in columns))
+    order = (F.col("n_s") < F.col("n_l")) | ((F.col("n_s") == F.col("n_l")) & (F.col("cls_s") < F.col("cls_l")))
+    room = (100 + percent) * F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l")) >= percent * (F.col("n_s") + F.col("n_l"))
+    apart = F.col("component_s") != F.col("component_l")
+    joined = less.join(more, (F.col("token") == F.col("other")) & apart & order & room & _may_link(percent, "_s", "_l"))
+    return joined.select(F.col("cls_s").alias("centre"), F.col("cls_l").alias("member"))
+
+
+def _grouped(docs: DataFrame, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, sha, n_shingles, component_id) for every row; sha tells its text."""
+    text = F.col(text_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("sha"), text.alias("text"))
+    sketches = materialize(own.mapInArrow(_sketcher(bands, rows), "doc_id long, sha binary, n_shingles long, low long, high long, bands array<long>"), "sketches")
+    # Equal sets are one class from here on, with a number of its own; the row with the least id stands for it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "sha")).alias("rep")
+    classes = sketches.where("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(first, F.count("*").alias("size"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("low", "high", "n_shingles", "rep.doc_id", "rep.sha", "size", "bands", F.monotonically_increasing_id().alias("cls")), "classes")
+    exploded = classes.select("cls", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = materialize(exploded.join(shared, "key"), "buckets")
-    members = materialize(buckets.select("doc_id").distinct(), "members")
-    sets = materialize(own.join(small(members, 8), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    members = materialize(buckets.select("cls").distinct().join(classes.select("cls", F.col("doc_id").alias("rep_id"), F.col("sha").alias("rep_sha")), "cls"), "members")
+    texts = own.join(small(members, 64), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))).select("cls", "text")
+    sets = texts.dropDuplicates(["cls"]).mapInArrow(_sets, "cls long, n long, shingles array<long>, " + ", ".join(f"{x} long" for x in _BITS))
+    sets = materialize(sets, "sets")
 
     labels, links, tested = None, None, None
-    open_ = buckets.select("key", "doc_id", F.col("doc_id").alias("component"))
+    open_ = buckets.select("key", "cls", F.col("cls").alias("component"))
     for t in range(STAR_ROUNDS + 1):
         if labels is not None:
-            open_ = buckets.join(small(labels, 16), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            open_ = buckets.join(small(labels, 16), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
             split = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             open_ = materialize(open_.join(split, "key", "left_semi"), "open")
         if t < STAR_ROUNDS:
-            mask = F.lit(0x5DEECE66D1234567 * t % (1 << 63))
-            centres = open_.groupBy("key").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("centre"))
-            star = open_.join(centres, "key").select("doc_id", "component", F.col("centre").bitwiseXOR(mask).alias("centre")).distinct()
-            pairs = star.where("doc_id != centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+            mask = F.lit(0x5DEECE66D1234567 * (t + 1) % (1 << 63))
+            mixed = F.xxhash64(F.col("cls").bitwiseXOR(mask))
+            centres = open_.groupBy("key").agg(F.min(F.struct(mixed.alias("order"), F.col("cls").alias("centre")))["centre"].alias("centre"))
+            pairs = open_.join(centres, "key").select("centre", F.col("cls").alias("member")).where("centre != member")
         else:
             pairs = _prefix_pairs(open_, sets, percent)
         pairs = pairs.distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            turned = tested.select(F.col("member").alias("centre"), F.col("centre").alias("member"))
+            pairs = pairs.join(tested.unionByName(turned), ["centre", "member"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         found = materialize(_verified(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        labels = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+        labels = connected_components(links).select(F.col("node").alias("cls"), "component")
         labels = materialize(labels, "labels")
 
+    named = classes.select("low", "high", "n_shingles", "doc_id", "size", "cls")
     if labels is not None:
-        classes = classes.join(small(labels.withColumnRenamed("doc_id", "rep"), 16), "rep", "left")
+        parts = named.join(small(labels, 16), "cls")
+        ids = materialize(parts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
+        linked = materialize(parts.select("cls", "component").join(small(ids, 16), "component").select("cls", "component_id"), "linked")
+        named = named.join(small(linked, 16), "cls", "left")
+        named = named.where("size > 1 or component_id is not null").select("low", "high", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     else:
-        classes = classes.withColumn("component", F.lit(None).cast("long"))
-    named = materialize(
-        classes.where("size > 1 or component is not null").select("low", "high", "n_shingles", F.coalesce("component", "rep").alias("component")), "named"
-    )
-    out = sketches.drop("bands").join(small(named, 32), ["low", "high", "n_shingles"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+        named = named.where("size > 1").select("low", "high", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = sketches.drop("bands").join(small(materialize(named, "named"), 32), ["low", "high", "n_shingles"], "left")
+    return out.select("doc_id", "sha", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Words are runs of non-white-space (ASCII), A-Z lower-cased; a set holds the distinct
+    five-word shingles, or the whole sequence of a shorter text. Texts that are null or
+    without words have an empty set and link with nothing. Documents link when
+    100 * intersection >= percent * union; component_id is the least id reachable. Rows that
+    share an id, or have none, are each judged by their own text; a component without any
+    id has a null component_id and all its rows stay. An empty table gives no rows.
+    """
+    out = _grouped(docs, percent, bands, rows, id_col, text_col)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, all columns kept."""
-    gone = materialize(near_duplicates(docs, percent, bands, rows, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)), "near")
-    return docs.join(small(gone.distinct(), 8), id_col, "left_anti")
+    """docs with the document of the least id of each component, all columns kept; rows that share that
+    id all stay. A row goes by its id and its text; see near_duplicates for rows without an id."""
+    grouped = _grouped(docs, percent, bands, rows, id_col, text_col)
+    gone = grouped.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
+    gone = small(materialize(gone.distinct(), "near"), 48)
+    sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
 
 
 ORACLE = rf"""

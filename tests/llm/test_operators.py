@@ -696,6 +696,65 @@ def test_links_that_no_star_finds(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts)).collect()} == want
 
 
+def test_near_duplicates_of_rows_without_an_id(spark):
+    rng = random.Random(12)
+    base = prose(rng, 100)
+    near = base + " tail"
+    other = prose(rng, 50)
+    texts = [(None, base), (8, near), (9, base), (8, other), (None, other), (None, "alone here"), (None, near + " x"), (8, base), (None, None)]
+    docs = docs_of(spark, texts).withColumns({c: F.lit("x") for c in ("cls", "sha", "gone_id", "rep_id")})
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()), key=repr)
+    n = {t: len(shingles(t)) for _, t in texts}
+    want = [(i, n[t], 8 if t != "alone here" and t else None, i == 8 or not t or t == "alone here") for i, t in texts]
+    assert got == sorted(want, key=repr)
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(8, near), (8, other), (8, base), (None, "alone here"), (None, None)], key=repr)
+
+
+def test_a_template_below_the_threshold(spark, monkeypatch):
+    """5,000 pages of one template, each pair a little less alike than asked: nothing links but the planted
+    pairs, and the last join, which sees all pages, makes few pairs of them."""
+    rng = random.Random(13)
+    template = prose(rng, 300).split()
+    own = lambda i: [f"own{i}x{k}" for k in range(24)]
+    pages = [[*template, *own(i)] for i in range(5000)]
+    texts = [(i, " ".join(p)) for i, p in enumerate(pages)] + [(6000 + i, " ".join(pages[7 * i][:-2])) for i in range(100)]
+    sets = [shingles(texts[i][1]) for i in (0, 1)]
+    assert 0.85 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.87
+    joined, made = minhash._prefix_pairs, []
+
+    def counted(*args):
+        pairs = joined(*args).distinct()
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_prefix_pairs", counted)
+    rows = minhash.near_duplicates(docs_of(spark, texts, extra=False), percent=88).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: 7 * (i - 6000) if i >= 6000 else i for i, _ in texts}
+    assert sum(made) < 5000
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 2**62, (12, 80))
+    sets = []
+    for i in range(240):
+        s = set(base[i % 12].tolist())
+        drop = rng.integers(0, 20)
+        s = set(sorted(s)[: 80 - drop]) | set(rng.integers(0, 2**62, rng.integers(0, 12)).tolist())
+        sets.append(np.array(sorted(s), np.uint64))
+    info = [(i, len(s), s.view(np.int64).tolist(), *minhash._bitmap(s).tolist()) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(info, "cls long, n long, shingles array<long>, " + ", ".join(f"{x} long" for x in minhash._BITS))
+    open_ = spark.createDataFrame([(i, i) for i in range(240)], "cls long, component long")
+    for percent in (80, 85, 95):
+        alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))
+        want = {(a, b) for a in range(240) for b in range(a + 1, 240) if a % 12 == b % 12 and alike(a, b)}
+        pairs = minhash._prefix_pairs(open_, table, percent).distinct()
+        assert want and want <= {tuple(sorted((r["centre"], r["member"]))) for r in pairs.collect()}
+        assert {tuple(sorted(r)) for r in minhash._verified(minhash.materialize(pairs, "pairs"), table, percent).collect()} == want
+
+
 def test_densification_keeps_similarity():
     draws = minhash._draws(252)
     rng = np.random.default_rng(3)
