@@ -10,12 +10,12 @@ A star can miss a link between two members that are both unlike the centre. So b
 members lie in more than one component are starred again from another centre, and the
 documents that are still in such buckets are joined exactly, across components, by prefix
 filter: of two sets that are as similar as asked, the larger's longer prefix of rarest
-shingles meets the smaller's shorter one, no later than the positions leave room for; and
-their bitmaps differ in no more bits than the sets may differ in shingles. All of it is tested
+shingles meets the smaller's shorter one, no later than the positions leave room for. All of it is tested
 in the join, without loss. No bucket or candidate is capped.
 
 To verify edges, members travel to their centre and not the centre to each member; a centre
-with many members stands once for each share of them.
+with many members stands once for each share of them. Edges go first whose sizes, or whose
+bitmaps of shingles, differ more than linked sets may.
 """
 
 from __future__ import annotations
@@ -212,22 +212,24 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shingles from the first common one on. What all of a family share stands late in its sets, so the
     smaller's short prefix holds it only where it leaves too little to tell them apart.
     """
-    held = materialize(open_.select("cls", "component").distinct().join(sets, "cls"), "held")
-    each = materialize(held.select("cls", F.explode("shingles").alias("token")), "tokens")
+    opened = small(materialize(open_.select("cls", "component").distinct(), "opened"), 16)
+    each = sets.select("cls", "shingles").join(opened.select("cls"), "cls").select("cls", F.explode("shingles").alias("token"))
     often = materialize(each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "often")
     ranked = each.join(small(often, 16), "token", "left").select("cls", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "token").alias("x"))
     ranked = ranked.groupBy("cls").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     n = F.size("xs").cast("long")
     long_, short = n - F.ceil(n * percent / 100) + 1, n - F.ceil(2 * n * percent / (100 + percent)) + 1
     prefixes = ranked.select("cls", short.alias("short"), F.posexplode(F.slice("xs", F.lit(1), long_.cast("int"))).alias("at", "x")).select("cls", "short", "at", "x.token")
-    each = materialize(prefixes.join(small(held.drop("shingles"), 24 + 8 * BITMAP), "cls"), "prefixes")
-    columns = ["cls", "component", "n", "at", *_BITS]
+    sizes = sets.select("cls", "n").join(opened, "cls")
+    each = materialize(prefixes.join(sizes, "cls"), "prefixes")
+    columns = ["cls", "component", "n", "at"]
     less = each.where("at < short").select("token", *(F.col(c).alias(f"{c}_s") for c in columns))
     more = each.select(F.col("token").alias("other"), *(F.col(c).alias(f"{c}_l") for c in columns))
     order = (F.col("n_s") < F.col("n_l")) | ((F.col("n_s") == F.col("n_l")) & (F.col("cls_s") < F.col("cls_l")))
     room = (100 + percent) * F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l")) >= percent * (F.col("n_s") + F.col("n_l"))
     apart = F.col("component_s") != F.col("component_l")
-    joined = less.join(more, (F.col("token") == F.col("other")) & apart & order & room & _may_link(percent, "_s", "_l"))
+    near = 100 * F.col("n_s") >= percent * F.col("n_l")
+    joined = less.join(more, (F.col("token") == F.col("other")) & apart & near & order & room)
     return joined.select(F.col("cls_s").alias("centre"), F.col("cls_l").alias("member"))
 
 
@@ -238,11 +240,13 @@ def _grouped(docs: DataFrame, percent: int, bands: int, rows: int, id_col: str,
     sketches = materialize(own.mapInArrow(_sketcher(bands, rows), "doc_id long, sha binary, n_shingles long, low long, high long, bands array<long>"), "sketches")
     # Equal sets are one class from here on, with a number of its own; the row with the least id stands for it.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "sha")).alias("rep")
-    classes = sketches.where("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(first, F.count("*").alias("size"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select("low", "high", "n_shingles", "rep.doc_id", "rep.sha", "size", "bands", F.monotonically_increasing_id().alias("cls")), "classes")
-    exploded = classes.select("cls", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialize(exploded.join(shared, "key"), "buckets")
+    same = ["low", "high", "n_shingles"]
+    classes = sketches.where("n_shingles > 0").groupBy(*same).agg(first, F.count("*").alias("size"))
+    classes = materialize(classes.select(*same, "rep.doc_id", "rep.sha", "size", F.monotonically_increasing_id().alias("cls")), "classes")
+    exploded = sketches.where("n_shingles > 0").select(*same, F.explode("bands").alias("key"))
+    shared = exploded.groupBy("key").agg(F.min("low").alias("a"), F.max("low").alias("b"), F.min("high").alias("c"), F.max("high").alias("d")).where("a != b or c != d").select("key")
+    buckets = exploded.join(shared, "key").distinct().join(classes.select(*same, "cls"), same)
+    buckets = materialize(buckets.select("key", "cls"), "buckets")
     members = materialize(buckets.select("cls").distinct().join(classes.select("cls", F.col("doc_id").alias("rep_id"), F.col("sha").alias("rep_sha")), "cls"), "members")
     texts = own.join(small(members, 64), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))).select("cls", "text")
     sets = texts.dropDuplicates(["cls"]).mapInArrow(_sets, "cls long, n long, shingles array<long>, " + ", ".join(f"{x} long" for x in _BITS))
