@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,15 @@ def if_(condition: Column, a: Column, b: Column) -> Column:
     return F.when(condition, a).when(~condition, b)
 
 
+def in_(x: Column, *values: Column) -> Column:
+    """True if one of the values equals x; else null if one of them, or x, is an error; else false."""
+    return reduce(lambda a, b: a | b, [x == v for v in values], F.lit(False))
+
+
+def not_in(x: Column, *values: Column) -> Column:
+    return ~in_(x, *values)
+
+
 def seconds(x: Column) -> Column:
     return F.extract(F.lit("SECOND"), x)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ BROADCAST_BYTES, TRIPLE_BYTES = 16 << 20, 200
 def folder(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-quadrille-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -28,6 +31,26 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Pile:
+    """Written tables that grow round by round: one is merged with the next when that is half as
+    large, so a row is written as often as the logarithm of all, and few tables make up the whole."""
+
+    def __init__(self, *tables: DataFrame):
+        self.levels: list[tuple[DataFrame, int]] = [(t, t.count()) for t in tables]
+
+    def add(self, table: DataFrame, rows: int | None = None) -> int:
+        rows = table.count() if rows is None else rows
+        if rows:
+            self.levels.append((table, rows))
+        while len(self.levels) > 1 and self.levels[-2][1] <= 2 * self.levels[-1][1]:
+            (a, x), (b, y) = self.levels[-2:]
+            self.levels[-2:] = [(written(a.unionByName(b), "merged"), x + y)]
+        return rows
+
+    def table(self) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), [t for t, _ in self.levels])
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, a written table, with a broadcast hint if it is small enough."""
     rows = df.count() if rows is None else rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.scratch import small, written
+from quadrille.functions.scratch import Pile, small, written
 
 
 def step(quads: DataFrame, predicate: str) -> DataFrame:
@@ -40,16 +40,17 @@ def one_or_more(path: DataFrame) -> DataFrame:
     """All pairs joined by one edge or more, cycles included, by semi-naive doubling.
 
     Each round joins the pairs found last with all pairs so far, so the length of the paths
-    covered doubles; only new pairs go on. A round is one join, one anti join and a written table.
+    covered doubles; only new pairs go on. A round is one join, one anti join and a written
+    table; the tables that hold all pairs are merged as they pile up.
     """
-    known = written(path.distinct(), "paths")
-    delta = known
+    delta = written(path.distinct(), "paths")
+    pile = Pile(delta)
     while True:
+        known = pile.table()
         longer = sequence(delta, known).unionByName(sequence(known, delta)).distinct()
         delta = written(longer.join(known, ["src", "dst"], "left_anti"), "paths")
-        if delta.isEmpty():
+        if not pile.add(delta):
             return known
-        known = written(known.unionByName(delta), "paths")
 
 
 def zero_or_more(path: DataFrame, all_nodes: DataFrame) -> DataFrame:
@@ -60,11 +61,11 @@ def reachable(starts: DataFrame, path: DataFrame) -> DataFrame:
     """(start, dst) of all nodes that each start reaches by one edge or more: only the frontier is joined."""
     edges = written(path.distinct(), "edges")
     near = small(edges)
-    known = written(starts.select(F.col(starts.columns[0]).alias("start")).join(edges.withColumnRenamed("src", "start"), "start").distinct(), "reach")
-    delta = known
+    delta = written(starts.select(F.col(starts.columns[0]).alias("start")).join(edges.withColumnRenamed("src", "start"), "start").distinct(), "reach")
+    pile = Pile(delta)
     while True:
+        known = pile.table()
         step_ = delta.select("start", F.col("dst").alias("src")).join(near, "src").select("start", "dst").distinct()
         delta = written(step_.join(known, ["start", "dst"], "left_anti"), "reach")
-        if delta.isEmpty():
+        if not pile.add(delta):
             return known
-        known = written(known.unionByName(delta), "reach")

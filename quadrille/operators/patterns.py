@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions.scratch import written
+from quadrille.functions.terms import is_blank
 from quadrille.sources.nquads import valid
 
 Pattern = Sequence[str]
@@ -49,7 +52,9 @@ def join(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] = (), h
     """Joins solutions that agree on their shared variables.
 
     Variables that either side may leave unbound are named, and agree with anything where
-    they are; the rest join by equality. `on` is a further condition over both sides.
+    they are; the rest join by equality. `on` is a further condition over both sides. For
+    each set of the former that both sides bind there is a join by equality of its own, so
+    that all keys are hashed; only what shares no bound variable at all is paired freely.
     """
     common, loose = shared(left, right), set(maybe_unbound)
     strict = [c for c in common if c not in loose]
@@ -59,10 +64,22 @@ def join(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] = (), h
     if not loose and on is None:
         return left.join(right, on=strict, how=how)
     other = right.select(*(F.col(c).alias(f"__{c}") if c in common else F.col(c) for c in right.columns))
-    tests = [F.col(c) == F.col(f"__{c}") for c in strict]
-    tests += [(F.col(c) == F.col(f"__{c}")) | F.col(c).isNull() | F.col(f"__{c}").isNull() for c in loose]
-    tests += [on] if on is not None else []
-    out = left.join(other, reduce(lambda a, b: a & b, tests), how)
+    equal = [F.col(c) == F.col(f"__{c}") for c in strict] + ([on] if on is not None else [])
+    if not loose:
+        return left.join(other, reduce(lambda a, b: a & b, equal), how).drop(*(f"__{c}" for c in common))
+    if how == "left":  # rows that nothing agrees with are found by number
+        left = written(left.withColumn("__row", F.monotonically_increasing_id()), "left")
+    parts = []
+    for bound in (set(b) for n in range(len(loose) + 1) for b in combinations(loose, n)):
+        tests = equal + [F.col(c) == F.col(f"__{c}") for c in loose if c in bound]
+        tests += [F.col(c).isNull() | F.col(f"__{c}").isNull() for c in loose if c not in bound]
+        parts.append(left.join(other, reduce(lambda a, b: a & b, tests)))
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    if how == "left":
+        out = written(out, "agreed")
+        out = out.unionByName(left.join(out.select("__row").distinct(), "__row", "left_anti"), allowMissingColumns=True).drop("__row")
+    elif how != "inner":
+        raise ValueError(f"no {how} join over variables that may be unbound")
     for c in loose:
         out = out.withColumn(c, F.coalesce(c, f"__{c}"))
     return out.drop(*(f"__{c}" for c in common))
@@ -145,5 +162,14 @@ def construct(solutions: DataFrame, templates: Sequence[Pattern], graph: str | N
     return valid(out.where("q.keep").select("q.s", "q.p", "q.o", "q.g"))
 
 
-def describe(quads: DataFrame, *resources: str) -> DataFrame:
-    return quads.where(F.col("s").isin(list(resources)))
+def describe(quads: DataFrame, *resources: str, skolem: str = "<urn:bnode:") -> DataFrame:
+    """The statements about the resources, and about the blank nodes that these lead to, step by
+    step; IRIs that stand for blank nodes are told by their prefix."""
+    blank = is_blank(F.col("o")) | F.col("o").startswith(skolem)
+    out = frontier = written(quads.where(F.col("s").isin(list(resources))), "described")
+    while True:
+        met = frontier.where(blank).select(F.col("o").alias("s")).distinct().join(out.select("s"), "s", "left_anti")
+        frontier = written(quads.join(met, "s", "left_semi").select(quads.columns), "described")
+        if frontier.isEmpty():
+            return out
+        out = out.unionByName(frontier)

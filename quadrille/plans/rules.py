@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from functools import reduce
+from types import CodeType, FunctionType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.scratch import small, written
+from quadrille.functions.scratch import Pile, small, written
 from quadrille.operators.patterns import Pattern, bgp, construct, exists_flag, match, not_exists, variables
 
 Condition = Callable[[Callable[[str], Column]], Column]
@@ -78,6 +79,35 @@ class Repeat:
     task: object
 
 
+@dataclass(frozen=True)
+class With:
+    """Runs the task with more parameters, each worked out from those around it, in order."""
+
+    bind: dict[str, Callable[[dict], str]]
+    task: object
+
+
+def told(x) -> str:
+    """A text that is the same for values that say the same, in every process; a function is told by
+    its code, its defaults and what it refers to outside."""
+    if isinstance(x, (str, int, float, bool, bytes, type(None))):
+        return repr(x)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{told(k)}:{told(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, (list, tuple)):
+        return "[" + ",".join(map(told, x)) + "]"
+    if isinstance(x, (set, frozenset)):
+        return "(" + ",".join(sorted(map(told, x))) + ")"
+    if is_dataclass(x) and not isinstance(x, type):
+        return type(x).__name__ + told([getattr(x, f.name) for f in fields(x)])
+    if isinstance(x, CodeType):
+        return told([x.co_code, x.co_consts, x.co_names, x.co_varnames])
+    if isinstance(x, FunctionType):
+        held = [c.cell_contents for c in x.__closure__ or ()]
+        return "function" + told([x.__code__, x.__defaults__, [h if not isinstance(h, FunctionType) or h is not x else "itself" for h in held]])
+    return f"{getattr(x, '__module__', '')}.{getattr(x, '__qualname__', type(x).__qualname__)}"
+
+
 @dataclass(frozen=True)
 class Ruleset:
     """parameters: defaults; None marks one that must be given."""
@@ -98,9 +128,8 @@ class Ruleset:
 
 
     def digest(self) -> str:
-        """Tells rulesets apart by their rules' patterns, plan and defaults."""
-        text = repr([(r.name, r.head, r.body, r.unless, r.emit, r.triggers) for r in self.rules] + [self.plan if self.plan is None else type(self.plan).__name__, sorted(self.parameters.items(), key=str)])
-        return hashlib.md5(text.encode()).hexdigest()
+        """Tells rulesets apart by all that their rules say, functions included, their plan and defaults."""
+        return hashlib.md5(told([self.rules, self.plan, sorted(self.parameters.items(), key=str)]).encode()).hexdigest()
 
 
 RULESETS: dict[str, Ruleset] = {}
@@ -165,15 +194,28 @@ class Vocabulary:
     objects: frozenset  # those that pairs were looked up for
     names: frozenset  # the predicates that were looked up
 
-    @classmethod
-    def of(cls, quads: DataFrame, rules: Sequence[Rule]) -> Vocabulary:
+    @staticmethod
+    def asked(rules: Sequence[Rule]) -> tuple[list[str], list[str]]:
         patterns = [p for r in rules for p in r.body]
         names = sorted({p[1] for p in patterns if not p[1].startswith("?")})
-        objects = sorted({p[2] for p in patterns if not p[2].startswith("?") and not p[1].startswith("?")})
-        kept = F.when(F.col("o").isin(objects), F.col("o")) if objects else F.lit(None)
-        found = quads.where(F.col("p").isin(names)).select("p", kept.alias("o")).distinct().collect() if names else []
+        return names, sorted({p[2] for p in patterns if not p[2].startswith("?") and not p[1].startswith("?")})
+
+    @classmethod
+    def probe(cls, rules: Sequence[Rule]) -> Column:
+        """The aggregate over quads that `read` takes: at most the pairs that the rules name."""
+        names, objects = cls.asked(rules)
+        kept = F.when(F.col("o").isin(objects), F.col("o")) if objects else F.lit(None).cast("string")
+        return F.collect_set(F.when(F.col("p").isin(names), F.struct("p", kept.alias("o"))) if names else F.lit(None).cast("struct<p:string,o:string>"))
+
+    @classmethod
+    def read(cls, found: list, rules: Sequence[Rule]) -> Vocabulary:
+        names, objects = cls.asked(rules)
         return cls(frozenset(r["p"] for r in found), frozenset((r["p"], r["o"]) for r in found if r["o"]), frozenset(objects), frozenset(names))
 
+    @classmethod
+    def of(cls, quads: DataFrame, rules: Sequence[Rule]) -> Vocabulary:
+        return cls.read(quads.agg(cls.probe(rules)).first()[0], rules)
+
     def __or__(self, other: Vocabulary) -> Vocabulary:
         return Vocabulary(self.predicates | other.predicates, self.pairs | other.pairs, self.objects, self.names)
 
@@ -209,7 +251,7 @@ class Closure:
         self.has = [Vocabulary.of(self.triples, self.ruleset.rules)]  # of the asserted quads and of each batch
         self.inferred: list[DataFrame] = []
         self.batches: list[tuple[DataFrame, int]] = []  # what each round added, with its row count
-        self.levels: list[tuple[DataFrame, int]] = []  # the same rows, merged as they pile up
+        self.pile = Pile()  # the same rows, merged as they pile up
         self.seen: dict[str, int] = {}  # rule -> batches it has read
         self.counts: dict[str, int] = {}
         self.active: set[str] | None = None
@@ -224,14 +266,7 @@ class Closure:
         return reduce(lambda a, b: a.unionByName(b), self.inferred, empty)
 
     def _all(self) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b), [b for b, _ in self.levels], self.triples)
-
-    def _pile(self, batch: DataFrame, n: int) -> None:
-        """Keeps the tables that make up all quads few: one is merged with the next when that is half as large."""
-        self.levels.append((batch, n))
-        while len(self.levels) > 1 and self.levels[-2][1] <= 2 * self.levels[-1][1]:
-            (a, x), (b, y) = self.levels[-2:]
-            self.levels[-2:] = [(written(a.unionByName(b), "merged"), x + y)]
+        return self.triples.unionByName(self.pile.table()) if self.pile.levels else self.triples
 
     def _task(self, task, values: dict) -> int:
         if isinstance(task, Eval):
@@ -243,6 +278,11 @@ class Closure:
             while n := self._task(task.task, values):
                 total += n
             return total
+        if isinstance(task, With):
+            for name, f in task.bind.items():
+                values = values | {name: f(values)}
+            self.seen.clear()  # other bindings: every rule starts anew
+            return self._task(task.task, values)
         rows = task.over(self._all()).collect()  # a handful of bindings by definition
         total = 0
         for r in rows:
@@ -280,13 +320,15 @@ class Closure:
             return 0
         found = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*self.columns).agg(*([] if self.scoped else [F.min("g").alias("g")]), F.collect_set("rule").alias("rules"))
         new = written(found.join(everything, self.columns, "left_anti"), "inferred")
-        n = new.count()
-        by_rule = {r["rule"]: r["count"] for r in new.select(F.explode("rules").alias("rule")).groupBy("rule").count().collect()} if n else {}
+        # One pass over what is new: its size, each rule's share, and which constants it has.
+        shares = [F.count_if(F.array_contains("rules", r.name)).alias(f"rule{i}") for i, r in enumerate(rules)]
+        told_ = new.agg(F.count("*").alias("n"), Vocabulary.probe(self.ruleset.rules).alias("has"), *shares).first()
+        n, by_rule = told_["n"], {r.name: told_[f"rule{i}"] for i, r in enumerate(rules) if told_[f"rule{i}"]}
         if n:
             self.inferred.append(new.select("s", "p", "o", "g"))
             self.batches.append((new.select(*self.columns), n))
-            self._pile(*self.batches[-1])
-            self.has.append(Vocabulary.of(new, self.ruleset.rules))
+            self.pile.add(*self.batches[-1])
+            self.has.append(Vocabulary.read(told_["has"], self.ruleset.rules))
         for k, v in by_rule.items():
             self.counts[k] = self.counts.get(k, 0) + v
         wake: set[str] | None = set()

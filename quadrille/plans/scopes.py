@@ -14,6 +14,7 @@ from quadrille.functions.scratch import written
 from quadrille.functions.terms import iri, owl, str_
 from quadrille.operators.paths import one_or_more
 from quadrille.plans.rules import Closure, Ruleset
+from quadrille.plans.rulesets import rdfs_ruleset
 from quadrille.plans.transforms import strongly_connected
 
 
@@ -28,17 +29,24 @@ def scoped_closure(ruleset: Ruleset, quads: DataFrame, scopes: DataFrame, **para
     return Closure(ruleset, seen, parameters=parameters, scoped=True).run()
 
 
-def global_import(ruleset: Ruleset, quads: DataFrame, global_graph: str, prefix: str = "urn:inf:", **parameters: str) -> DataFrame:
-    """Every graph sees the global graph and what that infers; the global graph sees itself only."""
+def global_import(ruleset: Ruleset, quads: DataFrame, global_graph: str, prefix: str = "urn:inf:", others: dict[str, str] | None = None, **parameters: str) -> DataFrame:
+    """Every graph sees the global graph and what that infers; the global graph sees itself only.
+    others: parameters that differ in all graphs but the global one."""
     graphs = written(quads.select("g").distinct(), "graphs")
     scopes = graphs.select(inferred_graph(F.col("g"), prefix).alias("scope"), "g")
     first = written(scoped_closure(ruleset, quads, scopes.where(F.col("g") == global_graph), **parameters), "global")
     own = scopes.where(F.col("g") != global_graph)
     above = F.explode(F.array(F.lit(global_graph), inferred_graph(F.lit(global_graph), prefix)))
-    more = scoped_closure(ruleset, quads.unionByName(first), own.unionByName(own.select("scope", above.alias("g"))), **parameters)
+    more = scoped_closure(ruleset, quads.unionByName(first), own.unionByName(own.select("scope", above.alias("g"))), **(parameters | (others or {})))
     return first.unionByName(more)
 
 
+def rdfs_separate_global(quads: DataFrame, global_graph: str, prefix: str = "urn:inf:", full: str = "true") -> DataFrame:
+    """RDFS in each graph on its own with the global graph: the axioms are stated once, in what the
+    global graph infers, and the others see them there."""
+    return global_import(rdfs_ruleset(), quads, global_graph, prefix, {"axioms": "false"}, full=full, axioms="true")
+
+
 def topology(quads: DataFrame, prefix: str = "urn:inf:") -> tuple[DataFrame, DataFrame]:
     """(members, imports): (scope, g) for the graphs of each group that import each other, and
     (scope, imported scope) for all groups that a group reaches."""

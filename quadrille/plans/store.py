@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, field
 from enum import Enum
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.scratch import written
 from quadrille.operators import graphs as G
 from quadrille.plans.rules import Closure, Ruleset
-from quadrille.sources.nquads import valid
+from quadrille.sources.nquads import read_nquads, valid
 
 
 class Status(Enum):
@@ -59,6 +61,27 @@ class Store:
         after = Status.POSSIBLY_INCOMPLETE if self.status is Status.CURRENT else self.status
         self._change(G.add(self.asserted, self._outside(quads)), after)
 
+    def load_file(self, path: str, graph: str | None = None, silent: bool = False) -> None:
+        """Adds the statements of an N-Quads file; a silent load that fails only warns."""
+        try:
+            self.add(read_nquads(self.spark, path, graph))
+        except (AnalysisException, OSError) as e:
+            if not silent:
+                raise
+            warnings.warn(f"{path} is not loaded: {e}", stacklevel=2)
+
+    def set_namespace(self, prefix: str, name: str) -> None:
+        self.namespaces[prefix] = name
+
+    def get_namespace(self, prefix: str) -> str | None:
+        return self.namespaces.get(prefix)
+
+    def remove_namespace(self, prefix: str) -> None:
+        self.namespaces.pop(prefix, None)
+
+    def clear_namespaces(self) -> None:
+        self.namespaces.clear()
+
     def remove(self, quads: DataFrame) -> None:
         self._change(G.remove(self.asserted, self._outside(quads)), Status.STALE)
 

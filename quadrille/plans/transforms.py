@@ -6,28 +6,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.scratch import written
-from quadrille.operators.paths import one_or_more
 
 
 def strongly_connected(edges: DataFrame, prefix: str = "") -> DataFrame:
     """(comp, node) of the graph of (src, dest): a component is named by its least node.
 
-    Nodes with no edge back to themselves are components of their own. Two nodes are one
-    component when each reaches the other, so the pairs that join both ways decide. Edges
-    that cannot lie on a cycle are trimmed first, which leaves the hard part small.
+    Nodes with no edge back to themselves are components of their own. Every node is coloured
+    with the least node that reaches it; the nodes of a colour that reach its namesake are that
+    node's component, and edges between colours lie in none. What is left is coloured anew.
+    Tables are never larger than the edges; rounds grow with the length of the shortest paths.
+    Edges into or out of dead ends are trimmed first, a few layers deep.
     """
     all_nodes = edges.select(F.explode(F.array("src", "dest")).alias("node")).where("node is not null").distinct()
     core = written(edges.where("src is not null and dest is not null and src != dest").select("src", "dest").distinct(), "core")
-    n = core.count()
-    while n:
+    for _ in range(TRIMS):
         sources, targets = core.select("src").distinct(), core.select("dest").distinct()
         core = written(core.join(targets.withColumnRenamed("dest", "src"), "src", "left_semi").join(sources.withColumnRenamed("src", "dest"), "dest", "left_semi").select("src", "dest"), "core")
-        left = core.count()
-        if left == n:
-            break
-        n = left
-    reach = one_or_more(core.withColumnRenamed("dest", "dst"))
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"], "left_semi")
-    names = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("comp"))
-    return all_nodes.join(names, "node", "left").select(F.concat(F.lit(prefix), F.least("node", F.coalesce("comp", "node"))).alias("comp"), "node")
+    found = None
+    while not core.isEmpty():
+        colours = _coloured(core)
+        part = _reaching(core, colours)
+        found = part if found is None else found.unionByName(part)
+        left = colours.join(part.select("node"), "node", "left_anti")
+        ends = [left.select(F.col("node").alias(n), F.col("colour").alias(f"colour_{n}")) for n in ("src", "dest")]
+        core = written(core.join(ends[0], "src").join(ends[1], "dest").where("colour_src = colour_dest").select("src", "dest"), "core")
+    if found is None:
+        return all_nodes.select(F.concat(F.lit(prefix), "node").alias("comp"), "node")
+    return all_nodes.join(found, "node", "left").select(F.concat(F.lit(prefix), F.coalesce("comp", "node")).alias("comp"), "node")
+
+
+#: Layers of dead ends that are trimmed before colours are spread.
+TRIMS = 2
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour): the least node that reaches each; only what changed last is carried on."""
+    colours = written(edges.select(F.explode(F.array("src", "dest")).alias("node")).distinct().withColumn("colour", F.col("node")), "colours")
+    changed = colours
+    while True:
+        offered = edges.join(changed.withColumnRenamed("node", "src"), "src").groupBy(F.col("dest").alias("node")).agg(F.min("colour").alias("offer"))
+        changed = written(offered.join(colours, "node").where("offer < colour").select("node", F.col("offer").alias("colour")), "changed")
+        if changed.isEmpty():
+            return colours
+        colours = written(colours.join(changed.withColumnRenamed("colour", "less"), "node", "left").select("node", F.coalesce("less", "colour").alias("colour")), "colours")
+
+
+def _reaching(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """(node, comp): the nodes that reach the node their colour is named after, itself included."""
+    known = frontier = written(colours.where("node = colour").select("node", F.col("colour").alias("comp")), "reaching")
+    while True:
+        back = edges.join(frontier.withColumnRenamed("node", "dest"), "dest").select(F.col("src").alias("node"), "comp").distinct()
+        same = back.join(colours, "node").where("colour = comp").select("node", "comp")
+        frontier = written(same.join(known.select("node"), "node", "left_anti"), "reaching")
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)

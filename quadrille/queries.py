@@ -319,6 +319,37 @@ def describe(spark, d):
     return plain(pat.describe(geo(spark, d), "<urn:t:nation/3>")).drop("g")
 
 
+@query("""SELECT n_nationkey::VARCHAR AS n, c_custkey::VARCHAR AS c, substr(c_mktsegment, 1, 1) AS m FROM customer JOIN nation ON c_custkey % 10 = 0 OR c_nationkey = n_nationkey
+    WHERE n_nationkey % 5 = 0 OR substr(c_mktsegment, 1, 1) < 'H'""")
+def compat_join_two(spark, d):
+    """Two variables that either side may leave unbound: customers without a nation, nations without a limit."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    left = c.select(F.col("c_custkey").cast("string").alias("c"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey").cast("string")).alias("n"), F.substring("c_mktsegment", 1, 1).alias("m"))
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("k"))
+    letters = pat.values(spark, ["m"], [(x,) for x in "ABCDEFG"])
+    some = n.where("k % 5 != 0").crossJoin(letters)
+    right = n.where("k % 5 = 0").select("k", F.lit(None).cast("string").alias("m")).unionByName(some.select("k", "m")).select(F.col("k").cast("string").alias("n"), "m")
+    return pat.join(left, right, maybe_unbound=["n", "m"]).select("n", "c", "m")
+
+
+@query("SELECT n_nationkey::VARCHAR AS n, r_name AS name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 2")
+def select_star(spark, d):
+    """All variables of the patterns, with those of the optional part."""
+    q = geo(spark, d)
+    names = pat.match(q.where(F.col("s") != "<urn:t:region/2>"), ("?r", pr("r_name"), "?label"))
+    out = pat.optional(pat.match(q, ("?n", pr("n_regionkey"), "?r")), names)
+    assert sorted(out.columns) == ["label", "n", "r"]
+    return out.select(key("n").alias("n"), text("label").alias("name"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS a, n_regionkey::VARCHAR AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def path_orders(spark, d):
+    """From every order along any edge, of those whose end is a region."""
+    q = world(spark, d, "o_custkey", "c_nationkey", "n_regionkey", tables=("orders", "customer", "nation"))
+    reach = P.one_or_more(q.select(F.col("s").alias("src"), F.col("o").alias("dst")))
+    return _pairs(reach.where(F.col("src").startswith("<urn:t:orders/") & F.col("dst").startswith("<urn:t:region/")))
+
+
 # --- paths ------------------------------------------------------------------------------
 
 def cycle(spark, d):
@@ -444,6 +475,14 @@ def fn_encode_uri(spark, d):
     return f.select(key("o").alias("k"), S.encode_for_uri(text("p")).alias("e"))
 
 
+@query("SELECT p_partkey::VARCHAR AS k, p_size IN (1, 2, 3) AS a, p_size NOT IN (1, 2, 3) AS b, CASE WHEN p_size = 7 THEN true END AS c, CASE WHEN p_size = 7 THEN false END AS d FROM part")
+def fn_in(spark, d):
+    """With an error among the values, what is not found is an error too."""
+    f = pat.match(world(spark, d, "p_size", tables=("part",)), ("?p", pr("p_size"), "?z"))
+    few, odd = [F.lit(n) for n in (1, 2, 3)], [F.lit(7), F.lit(None).cast("long")]
+    return f.select(key("p").alias("k"), S.in_(whole("z"), *few).alias("a"), S.not_in(whole("z"), *few).alias("b"), S.in_(whole("z"), *odd).alias("c"), S.not_in(whole("z"), *odd).alias("d"))
+
+
 # --- changes and stores -----------------------------------------------------------------
 
 @query(_GEO + "SELECT count(*) AS n, count(DISTINCT s || p || o || g) AS different FROM q")
@@ -729,6 +768,16 @@ def rdfs_global_import(spark, d):
     return found.select(short("s").alias("s"), short("o").alias("o"), F.url_decode(F.regexp_extract("g", "urn:inf:(.*)>", 1)).alias("g"))
 
 
+@query(_PLACES + """SELECT s, r AS o, 'urn:g:of-' || substr(n, 8) AS g FROM abox UNION ALL SELECT s, 'Place', 'urn:g:of-' || substr(n, 8) FROM abox""")
+def rdfs_separate_global(spark, d):
+    """The whole of RDFS in every graph; of what it infers, the types of customers."""
+    from quadrille.plans import scopes
+
+    found = scopes.rdfs_separate_global(in_graphs(spark, d), "<urn:g:schema>", full="false")
+    found = found.where((F.col("p") == R.TYPE) & F.col("s").startswith("<urn:t:customer"))
+    return found.select(short("s").alias("s"), short("o").alias("o"), F.url_decode(F.regexp_extract("g", "urn:inf:(.*)>", 1)).alias("g"))
+
+
 @query(_PLACES + """SELECT s, r AS o, 'data' AS g FROM abox UNION ALL SELECT s, 'Place', 'data' FROM abox
     UNION ALL SELECT DISTINCT 'nation/' || n_nationkey, 'Place', 'regions' FROM nation""")
 def rdfs_graph_import(spark, d):

@@ -7,7 +7,7 @@ from quadrille.functions import scalars as S
 from quadrille.functions import terms as t
 from quadrille.operators import patterns as pat
 from quadrille.plans import rulesets as R
-from quadrille.plans.rules import Closure, Eval, Repeat, Rule, Ruleset, closure
+from quadrille.plans.rules import Closure, Eval, Repeat, Rule, Ruleset, With, closure
 from quadrille.plans.store import Status, Store
 from quadrille.plans.transforms import strongly_connected
 from quadrille.sources import nquads
@@ -73,6 +73,64 @@ def test_compatible_join_and_optional_condition(spark):
     assert [tuple(r) for r in kept.select("a", "c").collect()] == [("1", None)]
 
 
+def test_left_compatible_join_keeps_rows_that_nothing_agrees_with(spark):
+    left = pat.values(spark, ["a", "b", "c"], [("1", None, "p"), ("2", "x", None), ("3", "z", "q"), ("4", None, None), ("3", "z", "q")])
+    right = pat.values(spark, ["b", "c", "d"], [("x", "p", "k"), ("y", None, "l")])
+    got = sorted(tuple(r) for r in pat.optional(left, right, maybe_unbound=["b", "c"]).select("a", "b", "c", F.coalesce("d", F.lit("-"))).fillna("-").collect())
+    assert got == sorted([("1", "x", "p", "k"), ("1", "y", "p", "l"), ("2", "x", "p", "k"), ("3", "z", "q", "-"), ("3", "z", "q", "-"), ("4", "x", "p", "k"), ("4", "y", "-", "l")])
+
+
+def test_describe_follows_blank_nodes(spark):
+    quads = q(spark, (u("a"), u("p"), "_:b"), ("_:b", u("p"), "<urn:bnode:c>"), ("<urn:bnode:c>", u("p"), "_:b"), ("<urn:bnode:c>", u("p"), u("z")), (u("z"), u("p"), u("a")), ("_:other", u("p"), u("a")))
+    assert triples(pat.describe(quads, u("a"))) == triples(quads.where("s not in ('<urn:z>', '_:other')"))
+
+
+def test_in_with_errors(spark):
+    bad = F.lit(None).cast("int")
+    got = one(spark, a=S.in_(F.lit(1), F.lit(1), bad), b=S.in_(F.lit(2), F.lit(1), bad), c=S.not_in(F.lit(2), F.lit(1)), d=S.in_(F.lit(2)))
+    assert tuple(got) == (True, None, True, False)
+
+
+def test_malformed_lines_zip_and_silent_load(spark, tmp_path):
+    import io
+    import zipfile
+
+    line = f"{u('a')} {u('p')} {u('b')} .\n"
+    (tmp_path / "x.nq").write_text(line + "\n# note\nbroken\n" + f'"lit" {u("p")} {u("o")} .\n')
+    assert sorted(r["value"] for r in nquads.malformed(spark, f"file://{tmp_path}/x.nq").collect()) == [f'"lit" {u("p")} {u("o")} .', "broken"]
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("in.nq", line.replace("urn:a", "urn:c"))
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("a.nq", line)
+        z.writestr("deep.zip", inner.getvalue())
+    (tmp_path / "x.zip").write_bytes(outer.getvalue())
+    assert triples(nquads.read_zipped(spark, f"file://{tmp_path}/x.zip")) == {(u("a"), u("p"), u("b")), (u("c"), u("p"), u("b"))}
+    store = Store(spark)
+    store.load_file(f"file://{tmp_path}/x.nq", G)
+    with pytest.warns(UserWarning, match="not loaded"):
+        store.load_file(f"file://{tmp_path}/missing.nq", silent=True)
+    assert store.size() == 1
+    store.set_namespace("ex", "urn:")
+    assert store.get_namespace("ex") == "urn:" and store.get_namespace("no") is None
+    store.clear_namespaces()
+    assert not store.namespaces
+
+
+def test_digest_tells_conditions_and_plans_apart():
+    def made(limit, plan=None):
+        return Ruleset("r", (Rule("a", (("?x", u("q"), "?y"),), (("?x", u("p"), "?y"),), where=lambda c: c("y") > limit),), plan)
+
+    assert made(1).digest() == made(1).digest()
+    assert len({made(1).digest(), made(2).digest(), made(1, Eval(("a",))).digest(), made(1, Eval(())).digest()}) == 4
+
+
+def test_task_parameters_by_expression(spark):
+    quads = q(spark, (u("a"), u("p"), u("b")))
+    rules = Ruleset("r", (Rule("a", (("?x", "?prop", "?y"),), (("?x", u("p"), "?y"),)),), With({"base": lambda v: "urn:q", "prop": lambda v: f"<{v['base']}{v['n']}>"}, Eval()), {"n": "7", "prop": None, "base": None})
+    assert triples(closure(rules, quads, prop="", base="")) == {(u("a"), u("q7"), u("b"))}
+
+
 def test_nquads_round_trip_and_bad_lines(spark, tmp_path):
     quads = pat.values(spark, list("spog"), [(u("a"), u("p"), '"x\\"y \\\\ . z"@en', G), (u("a"), u("p"), '"5"^^' + t.xsd("integer"), G)])
     path = f"file://{tmp_path}/nq"
@@ -196,6 +254,21 @@ def test_strongly_connected(spark):
     assert got == {"a": "c:a", "b": "c:a", "c": "c:a", "d": "c:d", "e": "c:d", "f": "c:f", "g": "c:g"}
 
 
+def test_components_of_a_random_graph(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = {(rng.randrange(60), rng.randrange(60)) for _ in range(75)}
+    reach = {i: {i} for i in range(60)}
+    for _ in range(60):
+        for a, b in edges:
+            reach[a] |= reach[b]
+    name = lambda i: f"n{i:02d}"
+    want = {name(i): name(min(j for j in reach[i] if i in reach[j])) for i in {x for e in edges for x in e}}
+    got = {r["node"]: r["comp"] for r in strongly_connected(pat.values(spark, ["src", "dest"], [(name(a), name(b)) for a, b in edges])).collect()}
+    assert got == want and len(set(want.values())) < len(want) - 3
+
+
 def rules():
     return Ruleset("sub", tuple(r for r in R.rdfs_rules() if r.name == "rdfs9"))
 
