@@ -49,6 +49,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts, at most.
+BATCH_ROWS = 1_000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Texts are a few kilobytes each, and a batch is held several times (in the JVM, on its way and in
+    Python): the session's batches are made smaller where they are larger than BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """(row, doc): every row of df, written once, under a number of its own that later steps join on.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialize, small
+from quadrille.llm.common import lean_batches, materialize, small
 from quadrille.llm.graph import connected_components
 
 SHINGLE = 5
@@ -235,6 +235,7 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, sha, n_shingles, component_id) for every row; sha tells its text."""
+    lean_batches(docs.sparkSession)
     text = F.col(text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("sha"), text.alias("text"))
     sketches = materialize(own.mapInArrow(_sketcher(bands, rows), "doc_id long, sha binary, n_shingles long, low long, high long, bands array<long>"), "sketches")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialize, small, spread
+from quadrille.llm.common import lean_batches, materialize, small, spread
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,9 +55,8 @@ class Ids:
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.special = [t["content"] for t in model["added_tokens"]]
@@ -67,12 +67,24 @@ class Ids:
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.plain = re.compile(self.PLAIN).fullmatch
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special) or not (text.isascii() or self.plain(text)):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
 
+@lru_cache(1)
+def _ids(path: str) -> Ids:
+    """Loaded once by each Python worker, not by each task."""
+    return Ids(path)
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level BPE: printable bytes stand for themselves, others follow from 256."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -86,7 +98,7 @@ _PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(path)
+        ids_of = _ids(path)
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             docs, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -110,6 +122,7 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
     All pieces but the first have `capacity` tokens; the first holds the remainder. A null
     or empty text has the one id 0. `copy` tells rows with one id apart.
     """
+    lean_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text_col).alias("text"))
     return own.mapInArrow(_pieces(path or tokenizer_path(), capacity), _PIECES)
 

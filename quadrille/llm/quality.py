@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import held_out, materialize
+from quadrille.llm.common import held_out, lean_batches, materialize
 
 #: Labelled rows that a model is fitted on, at most; the ones with the least hash of the id.
 TRAIN_ROWS = 20_000
@@ -133,6 +133,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     statistics of zero and a score like any other; without usable labels every score is 0.5.
     Rows that repeat an id are scored each by its own text. A null id is never held out.
     """
+    lean_batches(docs.sparkSession)
     stats = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_statistics_of, "doc_id long, x array<double>"), "statistics")
     sample = F.broadcast(train_ids(labels, "quality", train_rows))
     rows = stats.join(sample, "doc_id").select("x", "y").orderBy(F.xxhash64("x", "y"), "x", "y").limit(2 * train_rows).toArrow()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import SPACE, materialize, scratch_path, small
+from quadrille.llm.common import SPACE, lean_batches, materialize, scratch_path, small
 from quadrille.llm.minhash import _finish, word_hashes
 
 SEED, TWICE, WINDOW = 9, 18, 35
@@ -169,6 +169,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     An empty table gives no rows.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     text = F.col(text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"))
     first = materialize(own.mapInArrow(_first_pass, "doc_id long, digest binary, n_words long, sha string, at array<int>, hash array<long>"), "first")

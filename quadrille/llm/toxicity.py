@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import held_out, materialize
+from quadrille.llm.common import held_out, lean_batches, materialize
 from quadrille.llm.quality import train_ids
 
 #: Labelled rows that the lexicon and the curve are fitted on, at most.
@@ -209,7 +209,7 @@ class Lexicon:
         class Symbols(dict):
             def __missing__(self, word: str):
                 best = max((prefixes.get(word[:n], 0.0) for n in PREFIXES), default=0.0)
-                if len(self) > 300_000:
+                if len(self) > 100_000:
                     self.clear()
                     self.update(known)
                 self[word] = out = (INSULT, best) if best else (OTHER, 0.0)
@@ -351,6 +351,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text"):
     """A function that scores the texts of an Arrow column, fitted on labelled rows that aren't held out."""
+    lean_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids = F.broadcast(train_ids(labels, "toxic", train_rows))
     sample = materialize(own.join(ids, "doc_id").select("y", "text"), "labelled")
