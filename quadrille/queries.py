@@ -792,3 +792,90 @@ def rdfs_graph_import(spark, d):
     found = graph_import(rules, q.withColumn("g", graph).unionByName(imports))
     name = F.regexp_extract(F.url_decode(F.regexp_extract("g", "urn:inf:(.*)>", 1)), "urn:g:(.*)", 1)
     return found.select(short("s").alias("s"), short("o").alias("o"), F.when(name == "nations", "regions").otherwise(name).alias("g"))
+
+
+# --- the same operators over tables that grow -------------------------------------------
+
+def order_quads(spark, d):
+    return world(spark, d, "o_custkey", "o_orderstatus", "o_orderpriority", tables=("orders",))
+
+
+_ORDERS = """
+    WITH q AS (
+        SELECT '<urn:t:orders/' || o_orderkey || '>' AS s, 'o_custkey' AS p, '<urn:t:customer/' || o_custkey || '>' AS o, 'orders' AS g FROM orders
+        UNION ALL SELECT '<urn:t:orders/' || o_orderkey || '>', 'o_orderstatus', o_orderstatus, 'orders' FROM orders
+        UNION ALL SELECT '<urn:t:orders/' || o_orderkey || '>', 'o_orderpriority', o_orderpriority, 'orders' FROM orders)
+"""
+
+
+@query(_ORDERS + "SELECT s, p, o, g FROM q WHERE o IS NOT NULL")
+def nquads_orders(spark, d):
+    """Every quad of the orders through gzipped N-Quads and back."""
+    import uuid
+
+    from quadrille.functions.scratch import folder
+
+    path = f"{folder(spark)}/nquads-{uuid.uuid4().hex}"
+    nquads.write_nquads(order_quads(spark, d), path, "gzip")
+    return plain(nquads.read_nquads(spark, path))
+
+
+@query(_ORDERS + "SELECT s, CASE WHEN p = 'o_orderstatus' THEN 'status' ELSE p END AS p, o, CASE WHEN p = 'o_orderstatus' THEN 'states' ELSE g END AS g FROM q WHERE o IS NOT NULL")
+def delete_insert_orders(spark, d):
+    status = ("?x", pr("o_orderstatus"), "?v", "?g")
+    return plain(G.modify(order_quads(spark, d), lambda x: pat.match(x, status), delete=[status], insert=[("?x", pr("status"), "?v", "<urn:g:states>")]))
+
+
+@query(_ORDERS + "SELECT s, p, o, g FROM q WHERE o IS NOT NULL UNION ALL SELECT s, p, o, 'copy' FROM q WHERE o IS NOT NULL")
+def copy_orders(spark, d):
+    return plain(G.copy(order_quads(spark, d), "<urn:g:orders>", "<urn:g:copy>"))
+
+
+@query("""SELECT 'lineitem/' || l_orderkey || '-' || l_linenumber AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1
+    UNION SELECT 'orders/' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1
+    UNION SELECT 'customer/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1
+    UNION SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 1""")
+def path_from_region(spark, d):
+    """From one region backwards along any edge: nations, customers, orders and their lines, each once (lines may share a key)."""
+    q = world(spark, d, "l_orderkey", "o_custkey", "c_nationkey", "n_regionkey", tables=("lineitem", "orders", "customer", "nation"))
+    starts = pat.values(spark, ["start"], [("<urn:t:region/1>",)])
+    edges = P.inverse(q.select(F.col("s").alias("src"), F.col("o").alias("dst")))
+    return P.reachable(starts, edges).select(short("dst").alias("x"))
+
+
+@query("SELECT 'orders/' || o_orderkey AS node, min('orders/' || o_orderkey || '>') OVER (PARTITION BY o_custkey) AS least FROM orders UNION ALL SELECT DISTINCT 'customer/' || o_custkey, 'customer/' || o_custkey || '>' FROM orders")
+def scc_orders(spark, d):
+    """A customer's orders are a ring in the order of their keys, each with an edge to the customer."""
+    from pyspark.sql import Window
+
+    q = world(spark, d, "o_custkey", tables=("orders",)).withColumn("k", key("s").cast("long"))
+    ring = Window.partitionBy("o")
+    after = F.lead("s").over(ring.orderBy("k"))
+    first = F.first("s").over(ring.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    edges = q.select(F.col("s").alias("src"), F.coalesce(after, first).alias("dest")).unionByName(q.select(F.col("s").alias("src"), F.col("o").alias("dest")))
+    return strongly_connected(edges).select(short("node").alias("node"), F.regexp_replace("comp", "^<urn:t:", "").alias("least"))
+
+
+@query(_PLACES + "SELECT s, r AS o FROM abox UNION ALL SELECT s, 'Place' FROM abox UNION ALL SELECT s, 'Resource' FROM abox")
+def rdfs_closure_full(spark, d):
+    """RDFS with its defaults, axioms and the types of every resource included; of what it infers, the types of customers."""
+    found = closure(R.rdfs_ruleset(), places(spark, d))
+    found = found.where((F.col("p") == R.TYPE) & F.col("s").startswith("<urn:t:customer"))
+    return found.select(short("s").alias("s"), F.regexp_replace(short("o"), "^.*#", "").alias("o"))
+
+
+@query("""WITH c AS (SELECT 'customer/' || c_custkey AS s, 'nation/' || n_nationkey AS n, 'region/' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT s, 'locatedIn' AS p, n AS o FROM c UNION ALL SELECT s, 'locatedIn', r FROM c UNION ALL SELECT n, 'holds', s FROM c
+    UNION ALL SELECT s, 'type', 'Customer' FROM c UNION ALL SELECT s, 'type', 'Agent' FROM c""")
+def owl2rl_closure(spark, d):
+    """The whole OWL 2 RL ruleset: a sub-property that is transitive, an inverse, a domain and an equivalent class."""
+    q = world(spark, d, "n_regionkey", "c_nationkey", tables=("nation", "customer"))
+    schema = [
+        (pr("c_nationkey"), R.SUBPROPERTY, "<urn:locatedIn>"), (pr("n_regionkey"), R.SUBPROPERTY, "<urn:locatedIn>"),
+        ("<urn:locatedIn>", R.TYPE, t.owl("TransitiveProperty")), ("<urn:holds>", t.owl("inverseOf"), pr("c_nationkey")),
+        (pr("c_nationkey"), R.DOMAIN, "<urn:Customer>"), ("<urn:Customer>", R.EQ_CLASS, "<urn:Agent>"),
+    ]
+    found = closure(R.owl2rl_ruleset(), q.unionByName(pat.values(spark, list("spog"), [(*x, "<urn:g:schema>") for x in schema])))
+    about = F.col("p").isin("<urn:locatedIn>", "<urn:holds>") | (F.col("p") == R.TYPE) & F.col("o").isin("<urn:Customer>", "<urn:Agent>")
+    customers = F.col("s").startswith("<urn:t:customer") | (F.col("p") == "<urn:holds>")
+    return found.where(about & customers).select(short("s").alias("s"), F.regexp_replace(short("p"), "^.*#", "").alias("p"), short("o").alias("o"))
