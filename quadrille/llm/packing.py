@@ -1,13 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 Bulk-synchronous best fit. Pieces are range-sorted by length and sequences with room by their
-gap. In a superstep every length class looks up its successor, the least gap that holds it,
-longest first; conflicts for the gaps of a class are settled by rank, so the k-th piece in
-rank order meets the k-th sequence and the rest move on to the next gap or wait. Then gaps
-are updated, and the next superstep begins. Lengths and gaps are whole numbers up to the
-capacity, so the table that steers a sweep (pieces for each length, sequences for each gap)
-has at most `capacity` rows at any scale; pieces and sequences themselves stay distributed
-and meet in a join on (gap, rank).
+gap. In a superstep every piece of a band of lengths looks for its successor, the least gap that
+holds it, longest first: prefix sums over the size classes give each piece and each slot of a gap a
+depth, and equal depths meet in a shuffle. Conflicts within a class are settled by rank, so
+lower ranks are placed first and the rest wait. Then gaps are updated, and the next superstep
+begins. Lengths and gaps are whole numbers up to the capacity, so the table of classes has
+at most `capacity` rows at any scale; pieces and sequences stay distributed.
 """
 
 from __future__ import annotations
@@ -146,51 +145,64 @@ def ranked(rows: DataFrame, size: str, total: int, tie: list[str]) -> DataFrame:
     return cut.withColumn("place", place).join(small(starts, 24), [size, "chunk"]).withColumn("rank", (F.col("first") + F.col("place")).cast("long")).drop("chunk", "place", "first")
 
 
-def sweep(lengths: dict[int, int], gaps: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
-    """Successors for one superstep, longest first: (length, its first rank, gap, first rank there,
-    pieces, pieces for each sequence, sequences).
+def sweep(progress: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
+    """The successors of one superstep, by size class: at most `capacity` rows, whatever the input.
 
-    A sequence takes as many pieces of one length as its gap holds, for the gap that is left
-    is the best fit for the next of them; then it waits for the next superstep. So no two
-    matches touch the same sequence.
+    From the largest size down, a gap opens slots and a piece of the band (low, high] takes the
+    slot opened last, which is the least gap that holds it. So slots and pieces are brackets, and
+    a bracket's partner is the next one at its depth. A gap has as many slots as it holds pieces
+    of length `high`, one at the least. `base` is the depth before a class, `lowest` the
+    least depth that later pieces reach: slots below it stay free. `take` pieces of the class,
+    those of the lowest ranks left, are placed.
     """
-    nxt = list(range(capacity + 2))  # path to the next gap class that still has sequences
-
-    def find(g: int) -> int:
-        while nxt[g] != g:
-            nxt[g] = nxt[nxt[g]]
-            g = nxt[g]
-        return g
-
-    used = dict.fromkeys(gaps, 0)
-    for g in range(1, capacity + 1):
-        if not gaps.get(g):
-            nxt[g] = g + 1
-    out = []
-    for length in sorted(lengths, reverse=True):
-        done, n = 0, lengths[length]
-        while done < n and (g := find(length)) <= capacity:
-            each = g // length
-            many = min(spread(n - done, each), gaps[g] - used[g])
-            k = min(n - done, many * each)
-            out.append((length, done, g, used[g], k, each, many))
-            done, used[g] = done + k, used[g] + many
-            if used[g] == gaps[g]:
-                nxt[g] = g + 1
-    return out
+    none = F.lit(0).cast("long")
+    room = gaps.where(F.col("gap") > low).select(F.col("gap").alias("size"), none.alias("done"), none.alias("left"), F.lit(1).cast("long").alias("held"))
+    waiting = progress.select(F.col("length").alias("size"), "done", "left", none.alias("held"))
+    down = W.orderBy(F.desc("size"))
+    each = F.greatest(F.lit(1), F.floor(F.col("size") / high)).cast("long")
+    closes = F.when((F.col("size") > low) & (F.col("size") <= high), F.col("left")).otherwise(0)
+    return (
+        room.unionByName(waiting)
+        .groupBy("size")
+        .agg(*(F.sum(c).alias(c) for c in ("done", "left", "held")))
+        .withColumns({"each": each, "opens": F.col("held") * each, "closes": closes})
+        .withColumn("sum", F.sum(F.col("opens") - F.col("closes")).over(down.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(down.rowsBetween(W.unboundedPreceding, 0))))
+        .withColumns({"base": F.coalesce(F.lag("depth").over(down), F.lit(0)), "lowest": F.min("depth").over(down.rowsBetween(0, W.unboundedFollowing))})
+        .withColumn("take", F.least(F.col("closes"), F.col("base") + F.col("opens")))
+        .select("size", "done", "left", "held", "each", "opens", "closes", "base", "lowest", "take")
+    )
 
 
-def bands(capacity: int) -> list[tuple[int, int]]:
-    """Bands of lengths (above, up to), each 0.7 of the one before, and one for what is short."""
-    edges = [capacity]
-    while edges[-1] > capacity // 16:
-        edges.append(edges[-1] * 7 // 10)
-    return list(zip([*edges[1:-1], 0], edges[:-1])) if len(edges) > 2 else [(0, capacity)]
+def matches(queue: DataFrame, gaps: DataFrame, classes: DataFrame, held: int, capacity: int) -> DataFrame:
+    """(piece_id, length, sequence_id, offset) of a superstep, by its written classes.
+
+    A piece's depth follows from its rank within its length, a slot's from its sequence's rank
+    within its gap. At one depth a class has one slot and one piece at most, so no task meets
+    more than two rows a class for each depth.
+    """
+    used = F.col("lowest") < F.col("base") + F.col("opens")
+    of = F.broadcast(classes.where("take > 0").select(F.col("size").alias("length"), "done", "take", (F.col("base") + F.col("opens") - 1).alias("top")))
+    pieces = queue.join(of, "length").where("rank >= done AND rank < done + take")
+    none = F.lit(None).cast("struct<sequence_id: long, gap: long, slot: long>")
+    pieces = pieces.select((F.col("top") - F.col("rank") + F.col("done")).alias("depth"), F.col("length").alias("size"), F.lit(1).alias("kind"), "piece_id", none.alias("at"))
+    by = F.broadcast(classes.where(used).select(F.col("size").alias("gap"), "each", "base", "lowest"))
+    ranks = ranked(gaps.join(by, "gap"), "gap", held, ["sequence_id"])
+    slots = ranks.withColumn("first", F.col("base") + F.col("rank") * F.col("each")).where("lowest < first + each")
+    slots = slots.withColumn("slot", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("lowest") - F.col("first")), F.col("each") - 1)))
+    at = F.struct("sequence_id", F.col("gap").cast("long").alias("gap"), "slot")
+    slots = slots.select((F.col("first") + F.col("slot")).alias("depth"), F.col("gap").cast("long").alias("size"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("piece_id"), at.alias("at"))
+    pairs = slots.unionByName(pieces).withColumn("at", F.lag("at").over(W.partitionBy("depth").orderBy(F.desc("size"), "kind"))).where("kind = 1")
+    before = F.coalesce(F.sum("length").over(W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return pairs.select("piece_id", F.col("size").alias("length"), "at.*").select("piece_id", "length", "sequence_id", (capacity - F.col("gap") + before).alias("offset"))
 
 
-def _counts(rows: DataFrame, size: str) -> dict[int, int]:
-    """At most `capacity` rows, whatever the input."""
-    return {r[0]: r[1] for r in rows.groupBy(size).count().collect()}
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """Bands of lengths (above, up to), each 0.7 of the one before, and half of it where lengths are short."""
+    edges = [capacity]
+    while edges[-1] > 0:
+        edges.append(edges[-1] * 7 // 10 if edges[-1] > capacity // 16 else edges[-1] // 2)
+    return list(zip(edges[1:], edges[:-1]))
 
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -198,53 +210,44 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pieces of the full capacity fill a sequence each. The others are placed from the longest
     band of lengths to the shortest; a band is done when all its pieces are placed. When no gap
-    holds any piece of a band, a reserve of as many sequences is opened as the remaining
-    tokens need at the least; an unopened one has the gap of the whole capacity.
+    holds any piece of a band, as many sequences are opened as the remaining tokens need at the
+    least; an unused one has the gap of the whole capacity. The driver sees a few sums of a
+    superstep, no sizes.
     """
     spark = pieces.sparkSession
     full = pieces.where(F.col("length") == capacity).select("piece_id", (-1 - F.col("piece_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).select("piece_id", "length")
-    left = _counts(rest, "length")
-    total = sum(left.values())
+    progress = materialize(rest.groupBy("length").agg(F.lit(0).cast("long").alias("done"), F.count("*").alias("left")).coalesce(1), "progress")
+    parts = bands(capacity)
+    sums = progress.agg(*(F.coalesce(F.sum(F.when((F.col("length") > low) & (F.col("length") <= high), F.col("left"))), F.lit(0)) for low, high in parts)).first()
+    total = sum(sums)
     few = spread(total, ROWS)
     # Range-sorted once: a piece's rank within its length never changes, and lower ranks go first.
     queue = materialize(ranked(rest, "length", total, ["piece_id"]).repartitionByRange(few, "length", "rank"), "queue")
-    done = dict.fromkeys(left, 0)
-    gaps, rooms, opened, reserve, out = None, {}, 0, 0, full
-    for low, high in bands(capacity):
-        while band := {n: c - done[n] for n, c in left.items() if low < n <= high and c > done[n]}:
-            usable = {g: c for g, c in rooms.items() if g > low and c}
-            moves = sweep(band, usable | {capacity: reserve}, capacity)
-            if not moves:
-                open_left = sum(n * (c - done[n]) for n, c in left.items())
-                reserve = max(spread(open_left, capacity), sum(c for n, c in band.items() if 2 * n > capacity))
-                moves = sweep(band, {capacity: reserve}, capacity)
-            plan = spark.createDataFrame(
-                [(n, done[n] + r, done[n] + r + k, g, s, e) for n, r, g, s, k, e, _ in moves], "of long, lo long, hi long, gap long, first long, each long"
-            )
-            place = F.col("rank") - F.col("lo")
-            now = queue.join(F.broadcast(plan), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
-                "piece_id",
-                "length",
-                "gap",
-                (F.col("first") + F.floor(place / F.col("each"))).alias("rank"),
-                (F.lit(capacity) - F.col("gap") + place % F.col("each") * F.col("length")).cast("long").alias("offset"),
-            )
-            step = now.where(F.col("gap") == capacity).withColumn("sequence_id", F.col("rank") + opened)
-            if wanted := [(g,) for g in sorted({m[2] for m in moves}) if g < capacity]:
-                held = ranked(gaps.join(F.broadcast(spark.createDataFrame(wanted, "gap long")), "gap"), "gap", sum(rooms.values()), ["sequence_id"])
-                step = step.unionByName(now.join(held, ["gap", "rank"]))
-            used = max((s + many for _, _, g, s, _, _, many in moves if g == capacity), default=0)
-            opened, reserve = opened + used, reserve - used
-            step = materialize(step.select("piece_id", "length", "sequence_id", "offset").coalesce(few), "placed")
+    gaps, opened, out = spark.createDataFrame([], "sequence_id long, gap long"), 0, full
+    for (low, high), waiting in zip(parts, sums):
+        band = queue.where((F.col("length") > low) & (F.col("length") <= high))
+        while waiting:
+            classes = materialize(sweep(progress, gaps, low, high).coalesce(1), "classes")
+            used = F.col("lowest") < F.col("base") + F.col("opens")
+            now = classes.agg(
+                F.sum("take").alias("take"),
+                F.sum(F.when(used, F.col("held"))).alias("held"),
+                F.sum(F.col("size") * F.col("left")).alias("tokens"),
+                F.sum(F.when(2 * F.col("size") > capacity, F.col("closes"))).alias("alone"),
+            ).first()
+            if not now["take"]:
+                reserve = max(spread(now["tokens"], capacity), now["alone"] or 0)
+                fresh = spark.range(opened, opened + reserve, 1, spread(reserve, ROWS)).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
+                gaps, opened = gaps.unionByName(fresh), opened + reserve
+                continue
+            step = materialize(matches(band, gaps, classes, now["held"], capacity).coalesce(few), "placed")
             out = out.unionByName(step.select("piece_id", "sequence_id", "offset"))
-            after = step.groupBy("sequence_id").agg((F.lit(capacity) - F.max(F.col("offset") + F.col("length"))).alias("gap"))
-            if gaps is not None:
-                after = gaps.join(step.select("sequence_id").distinct(), "sequence_id", "left_anti").unionByName(after)
-            gaps = materialize(after.where("gap > 0").coalesce(few), "gaps")
-            rooms = _counts(gaps, "gap")
-            for n, _, _, _, k, _, _ in moves:
-                done[n] += k
+            after = step.select("sequence_id", (F.lit(capacity) - F.col("offset") - F.col("length")).alias("gap"))
+            gaps = gaps.unionByName(after).groupBy("sequence_id").agg(F.min("gap").alias("gap"))  # gaps only shrink
+            gaps = materialize(gaps.where("gap > 0").coalesce(few), "gaps")
+            progress = classes.select(F.col("size").alias("length"), (F.col("done") + F.col("take")).alias("done"), (F.col("left") - F.col("take")).alias("left")).where("done + left > 0")
+            waiting -= now["take"]
     return out
 
 

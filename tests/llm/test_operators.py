@@ -347,13 +347,47 @@ def test_ids_agree_with_tokenizers():
         assert ids(text).tolist() == ids.slow.encode(text, add_special_tokens=False).ids
 
 
-def test_sweep_gives_each_sequence_once():
-    moves = packing.sweep({5: 3, 4: 2}, {5: 1, 9: 2, 12: 1}, 16)
-    assert sum(m[4] for m in moves) == 5
-    for g in (5, 9, 12):
-        spans = sorted((m[3], m[3] + m[6]) for m in moves if m[2] == g)
-        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-    assert moves[0][:4] == (5, 0, 5, 0)
+@pytest.mark.parametrize("seed", range(3))
+def test_sweep_is_longest_first_best_fit(spark, seed):
+    """One superstep against a loop over single pieces and slots: each takes the least gap that holds it."""
+    rng = random.Random(seed)
+    low, high, capacity = 20, 40, 100
+    lengths = [rng.randint(1, 60) for _ in range(120)]
+    sizes = [rng.choice([rng.randint(1, 100), 100, 40, 27]) for _ in range(40 if seed else 400)]
+    queue = packing.materialize(packing.ranked(spark.createDataFrame(list(enumerate(lengths)), "piece_id long, length long"), "length", 120, ["piece_id"]), "queue")
+    progress = queue.groupBy("length").agg(F.lit(0).cast("long").alias("done"), F.count("*").alias("left"))
+    gaps = packing.materialize(spark.createDataFrame(list(enumerate(sizes)), "sequence_id long, gap long"), "gaps")
+    classes = packing.materialize(packing.sweep(progress, gaps, low, high), "classes")
+    band = [n for n in lengths if low < n <= high]
+    rows = packing.matches(queue, gaps, classes, len(sizes), capacity).collect()
+    free = sorted(g for g in sizes if g > low for _ in range(max(1, g // high)))
+    expected = []
+    for n in sorted(band, reverse=True):
+        if (at := next((k for k, g in enumerate(free) if g >= n), None)) is not None:
+            expected.append((n, free.pop(at)))
+    assert sorted((r["length"], sizes[r["sequence_id"]]) for r in rows) == sorted(expected)
+    assert classes.agg(F.sum("take")).first()[0] == len(rows) == len({r["piece_id"] for r in rows}) > 0
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, own in by.items():
+        end = capacity - sizes[i]
+        for o, n in sorted(own):
+            assert o == end
+            end += n
+        assert end <= capacity
+
+
+def test_packing_of_equal_short_pieces(spark):
+    """One length holds nearly all rows: 50 pieces of 300 need 50 sequences, and 3,000 of one token fit beside them."""
+    rows = packing.materialize(spark.createDataFrame([(i, 1 if i < 3000 else 300) for i in range(3050)], "piece_id long, length long"), "pieces")
+    placed = packing.best_fit(rows, 512).join(rows, "piece_id").collect()
+    assert len(placed) == 3050
+    ends = {}
+    for r in sorted(placed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 512 and len(ends) == 50
 
 
 # --- 5 ----------------------------------------------------------------------------------
